@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import lines, mixing, packing, quality, simhash
+from logloom.llm import cws, licenses, lines, mixing, packing, quality, simhash, spans, urls
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,36 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(_docs(spark, sf_dir))
+
+
+def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number its path carries; bad is low quality or toxic."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("shown"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    shown = pages.select("page_id", urls.document_number(F.col("url")).alias("shown"))
+    return urls.judge(pages, shown.join(labels, "shown").select("page_id", "bad"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_mix": op3_mix,
+    "op4_spans": op4_spans,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
+    "op8_urls": op8_urls,
     "op9_lines": op9_lines,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
