@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import cws, licenses, lines, mixing, packing, quality, simhash, spans, urls
+from logloom.llm import cws, licenses, lines, lm_score, mixing, packing, quality, simhash, spans, urls
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, shown.join(labels, "shown").select("page_id", "bad"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_lm_score": op2_lm_score,
     "op3_mix": op3_mix,
     "op4_spans": op4_spans,
     "op5_simhash": op5_simhash,
