@@ -95,7 +95,7 @@ def mask_password(url: Column, mask: str = "***") -> Column:
     The colon of ``scheme://`` doesn't count. Strings without such a pair, or
     with nothing behind them, stay as they are.
     """
-    return F.regexp_replace(url, r"(?s)^((?:[^:@]*:/[^:@]*|[^:@]*):)([^@]*)(@.+)$", F.concat(F.lit("$1"), F.lit(mask.replace("$", r"\$")), F.lit("$3")))
+    return F.regexp_replace(url, r"(?s)^([^:@]*:/[^:@]*:|[^:@]*:(?!/))([^@]*)(@.+)$", F.concat(F.lit("$1"), F.lit(mask.replace("$", r"\$")), F.lit("$3")))
 
 
 def object_id_parts(hex24: Column) -> Column:
