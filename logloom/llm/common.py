@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.storage import settle, shared_dir
+
+__all__ = ["WHITE", "WHITE_RE", "WORD_RE", "free_name", "if_small", "settle", "shared_dir", "signed", "store", "word_count", "words"]
+
 #: ASCII white space; a word is a maximal run of anything else.
 WHITE = b" \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor and the driver see: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-process tests) a temporary folder
-    is made and set for the session's context.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="logloom-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def settle(frame: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table by a reliable checkpoint."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def store(frame: DataFrame, label: str) -> DataFrame:
     """Write a wide table as Parquet in the shared folder and read it again."""
     spark = frame.sparkSession
