@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.documents import get_field
 from logloom.functions.values import ns_db
 from logloom.operators.commands import command_name, target_ns
+from logloom.storage import settle
 
 INDEX_COMMANDS = ["createIndexes", "commitIndexBuild", "deleteIndex", "deleteIndexes", "dropIndex", "dropIndexes", "collMod"]
 
@@ -49,7 +50,7 @@ def renamed_at_end(logs: DataFrame) -> DataFrame:
         new = step.select("a.ns", F.coalesce("b.to_ns", "a.final_ns").alias("final_ns"), F.when(F.col("b.ns").isNotNull(), F.struct("b.ts_t", "b.ts_i", "b.seq")).otherwise(F.col("a.at")).alias("at"), F.col("b.ns").isNotNull().alias("moved"))
         if new.filter("moved").isEmpty():
             return out.select("ns", "final_ns")
-        out = new.drop("moved")
+        out = settle(new.drop("moved"))
 
 
 def index_logs(logs: DataFrame) -> DataFrame:

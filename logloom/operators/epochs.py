@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MAX_COUNT, MAX_BYTES = 1000, 12 << 20
 #: Barriers that are broadcast; with more of them epochs come from range-wise counts.
@@ -74,14 +75,12 @@ def grouped_by_size(logs: DataFrame, worker: str, order: list[str], size: str =
     The cap depends on all sizes before it, so it is a fold over a worker's ordered
     rows. They stream through sorted partitions; nothing is gathered per worker.
     """
-    at_worker, at_size = worker, size
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: tuple = (None, None, None)
         batch = count = held = 0
         for frame in frames:
             found = []
-            for w, ns, op, n in zip(frame[at_worker], frame["ns"], frame["op"], frame[at_size]):
+            for w, ns, op, n in zip(frame[worker], frame["ns"], frame["op"], frame[size]):
                 if w != state[0]:
                     batch, count, held = 0, 0, 0
                 elif (ns, op) != state[1:] or count >= max_count or held + n >= max_bytes:
@@ -90,31 +89,30 @@ def grouped_by_size(logs: DataFrame, worker: str, order: list[str], size: str =
                 found.append(batch)
             yield frame.assign(batch=found)
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
     schema = StructType([*logs.schema.fields, StructField("batch", LongType())])
     return logs.repartition(worker).sortWithinPartitions(worker, *order).mapInPandas(run, schema)
 
 
-def collision_segments(logs: DataFrame, worker: list[str], order: list[str], key: str = "uk") -> DataFrame:
+def collision_segments(logs: DataFrame, worker: str, order: list[str], key: str = "uk") -> DataFrame:
     """``logs`` with ``segment``: a new one begins where a unique key has been seen before in the current one.
 
-    Keys are exact. ``seen`` is the place of the same key's last use; a segment must
-    begin after it, so the running maximum of those places tells where to cut.
+    Keys are exact; rows without one never cut. Rows stream through sorted
+    partitions; only the current segment's keys are held.
     """
-    along = Window.partitionBy(*worker).orderBy(*order)
-    rows = logs.withColumn("_at", F.row_number().over(along))
-    seen = F.when(F.col(key).isNotNull(), F.lag("_at").over(Window.partitionBy(*worker, key).orderBy(*order)))
-    cells = F.array_sort(F.collect_list(F.struct("_at", "_seen")))
-    rows = rows.withColumn("_seen", seen)
-    # the fold runs over (place, last use) pairs of one batch
-    start = F.struct(F.lit(1).alias("begin"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,segment:int>>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        cut = F.coalesce(c["_seen"] >= a["begin"], F.lit(False))
-        n = a["n"] + cut.cast("int")
-        return F.struct(F.when(cut, c["_at"]).otherwise(a["begin"]).alias("begin"), n.alias("n"), F.array_append(a["out"], F.struct(c["_at"].alias("at"), n.alias("segment"))).alias("out"))
-
-    folded = rows.groupBy(*worker).agg(F.aggregate(cells, start, step)["out"].alias("out"))
-    table = folded.select(*worker, F.explode("out").alias("x")).select(*worker, F.col("x.at").alias("_at"), F.col("x.segment").alias("segment"))
-    return rows.join(table, [*worker, "_at"]).drop("_at", "_seen")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, segment, seen = None, 0, set()
+        for frame in frames:
+            found = []
+            for w, k in zip(frame[worker], frame[key]):
+                if w != now:
+                    now, segment, seen = w, 0, set()
+                if not pd.isna(k):
+                    if k in seen:
+                        segment, seen = segment + 1, set()
+                    seen.add(k)
+                found.append(segment)
+            yield frame.assign(segment=found)
+
+    schema = StructType([*logs.schema.fields, StructField("segment", LongType())])
+    return logs.repartition(worker).sortWithinPartitions(worker, *order).mapInPandas(run, schema)

@@ -362,13 +362,13 @@ def group_size_cap(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY ns {ORDER}) AS rn, k % 20 AS uk FROM log),
 p AS (SELECT *, lag(rn) OVER (PARTITION BY ns, uk ORDER BY rn) AS seen FROM n),
-g AS (SELECT ns, rn, seq, 0 AS segment, CAST(1 AS BIGINT) AS start FROM p WHERE rn = 1
+g AS (SELECT ns, rn, seq, CAST(0 AS BIGINT) AS segment, CAST(1 AS BIGINT) AS start FROM p WHERE rn = 1
  UNION ALL SELECT p.ns, p.rn, p.seq, CASE WHEN p.seen >= g.start THEN g.segment + 1 ELSE g.segment END, CASE WHEN p.seen >= g.start THEN p.rn ELSE g.start END FROM g JOIN p ON p.ns = g.ns AND p.rn = g.rn + 1)
 SELECT seq, segment FROM g"""
 )
 def collision_segments(spark, sf_dir):
     log = flat_log(spark, sf_dir).withColumn("uk", F.col("k") % 20)
-    return epochs.collision_segments(log, ["ns"], replay.ORDER).select("seq", "segment")
+    return epochs.collision_segments(log, "ns", replay.ORDER).select("seq", "segment")
 
 
 # --- replay
