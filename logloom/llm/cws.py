@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import settle, words
 
-SAMPLES = 16
-#: Ranges of doc_id that are handled apart; each is a window of its own.
-MOST_RANGES = 4096
+SAMPLES = 32
+#: Rows of a range of doc_id, which is a window of its own, and of a task; and how many ranges there may be.
+RANGE_ROWS, TASK_ROWS, MOST_RANGES = 512, 2048, 65_536
 
 
 def _unit(bits: Column, width: int) -> Column:
@@ -50,21 +50,22 @@ def _in_order(docs: DataFrame) -> DataFrame:
     so parts are even; texts are shuffled once. The last row of a part takes the
     first row of the following part, of which there is one a part.
     """
-    spark = docs.sparkSession
-    parts = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = docs.count()
+    parts, tasks = max(1, min(MOST_RANGES, n // RANGE_ROWS)), max(1, min(MOST_RANGES, n // TASK_ROWS))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
     bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts)).bit_length()))])
     part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
     rows = docs.select(part.alias("part"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartition(tasks, "part")  # every later step keeps to this partitioning
     heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
     ring = Window.orderBy("part")  # one row a part, MOST_RANGES at most
     heads = settle(heads.withColumn("before", F.coalesce(F.lag("part").over(ring), F.max("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))))
     first = rows.join(F.broadcast(heads.select(F.col("part").alias("p"), "head", "before")), (F.col("part") == F.col("p")) & F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tie") == F.col("tie")))
     first = first.dropDuplicates(["part"]).select(F.col("before").alias("after_part"), F.col("part").alias("following"), F.col("text").alias("head_text"))
     along = Window.partitionBy("part").orderBy("doc_id", "tie")
-    ranked = rows.withColumn("rank", F.row_number().over(along)).withColumn("lead", F.lead("text").over(along)).drop("tie")
+    ranked = dealt.withColumn("rank", F.row_number().over(along)).withColumn("lead", F.lead("text").over(along)).drop("tie")
     full = ranked.join(first, (F.col("part") == F.col("after_part")) & F.col("lead").isNull(), "left")
     return full.select("part", "rank", "following", "doc_id", "text", F.coalesce("lead", "head_text").alias("next"))
 
@@ -92,7 +93,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     full = full.withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next", half)))
     both = full.select("part", "rank", F.explode(F.array(F.struct(F.col("text").alias("x"), F.lit(1).alias("own")), F.struct(F.col("edited").alias("x"), F.lit(0).alias("own")))).alias("v"))
-    terms = both.select("part", "rank", F.col("v.own").alias("own"), F.explode(words(F.col("v.x"))).alias("w")).select("part", "rank", "own", F.xxhash64("w").alias("w"))
+    # explode would put a filter below the shuffle of texts, which then couldn't be shared with `meta`
+    terms = both.select("part", "rank", F.col("v.own").alias("own"), F.explode_outer(words(F.col("v.x"))).alias("w")).select("part", "rank", "own", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("w"))
     weights = terms.groupBy("part", "rank", "w").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("both"))
     weights = weights.select("part", "rank", "w", F.log(F.nullif("n", F.lit(0)).cast("double")).alias("own"), F.log(F.nullif(F.col("both") - F.col("n"), F.lit(0)).cast("double")).alias("edited"))
     least = [F.min(sample(F.col("w"), F.col(x), k)).alias(f"{x}{k}") for k in range(samples) for x in ("own", "edited")]
