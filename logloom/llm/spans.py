@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import free_name
+from logloom.llm.common import free_name, settle
 
 #: Words a run has at least, so that short phrases never count as copies.
 MIN_WORDS = 20
@@ -92,7 +92,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, mark, at) of the runs that aren't the first of their hash, from (id, mark, text); ``at`` packs first and last sentence."""
     spans = docs.select("id", "mark", "text").mapInArrow(_emit(min_words), "id long, mark long, high long, low int, at long")
     first = F.min(F.struct("id", "mark", "at")).alias("first")
-    often = spans.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("high", "low", "first")
+    # settled, so that both sides of the join are plain shuffles and Spark can split a hot run
+    often = settle(spans.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("high", "low", "first"))
     return spans.join(often, ["high", "low"]).filter(F.struct("id", "mark", "at") != F.col("first")).select("id", "mark", "at")
 
 
