@@ -94,7 +94,9 @@ def miss_probability(n: int) -> float:
     return (1 - least_jaccard(n)) ** BANDS
 
 
-_SEEDS = np.array([xxhash.xxh64_intdigest(b"band", seed=k) | 1 for k in range(BANDS)], np.uint64)[:, None]
+_SEEDS = np.array([xxhash.xxh32_intdigest(b"band", seed=k) | 1 for k in range(BANDS)], np.uint32)[None, :]
+#: Where each band begins in the flat table of leading bits.
+_FIRST = (np.arange(BANDS, dtype=np.uint32) << np.uint32(12))[None, :]
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WIDTH)]
 
 
@@ -115,19 +117,19 @@ class Scanner:
             if len(words) < WIDTH:  # such a template is one short shingle; it is looked up as a run of words
                 self.short.setdefault(tuple(words), []).append(index)
                 continue
-            groups.setdefault(window_for(len(self.sets[-1])), []).append((index, self._bands(self._hashes(words)).min(axis=1)))
+            groups.setdefault(window_for(len(self.sets[-1])), []).append((index, self._bands(self._hashes(words)).min(axis=0)))
         self.groups = {}
         for window, found in groups.items():
             tables = [{} for _ in range(BANDS)]
-            quick = np.zeros((BANDS, 1 << 12), bool)
+            quick = np.zeros(BANDS << 12, bool)
             for index, mins in found:
                 for band, value in enumerate(mins.tolist()):
                     tables[band].setdefault(value, []).append(index)
-                    quick[band, value >> 52] = True
+                    quick[band << 12 | value >> 20] = True
             self.groups[window] = (tables, quick)
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
-        """64-bit hash of each shingle, from its words' hashes."""
+        """32-bit hash of each shingle, from its words' hashes."""
         cache = self.cache
         if len(cache) > 1_000_000:
             cache.clear()
@@ -142,38 +144,33 @@ class Scanner:
             total = np.zeros(n, np.uint64)
             for k in range(WIDTH):
                 total += word[k : k + n] * _POWERS[k]
-            return total ^ (total >> np.uint64(29))
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            return (total >> np.uint64(32)).astype(np.uint32)
 
     @staticmethod
     def _bands(hashes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = hashes[None, :] * _SEEDS
-            return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            return hashes[:, None] * _SEEDS
 
     def _candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first shingle, shingles) of the windows that share a band with a template."""
         if not self.groups or not len(hashes):
             return
-        step, n = LEAST_WINDOW // 4, len(hashes)
-        low = np.minimum.reduceat(self._bands(hashes), np.arange(0, n, step), axis=1)
-        top = max(self.groups)
-        while True:
-            window = 4 * step
-            if window in self.groups:
-                tables, quick = self.groups[window]
-                # four blocks of a quarter each, moved by one
-                m = low.shape[1]
-                mins = low.copy()
-                for k in range(1, min(4, m)):
-                    np.minimum(mins[:, : m - k], low[:, k:], out=mins[:, : m - k])
-                hit = np.take_along_axis(quick, (mins >> np.uint64(52)).astype(np.int64), axis=1)
-                for band, at in zip(*np.nonzero(hit)):
-                    for index in tables[band].get(int(mins[band, at]), ()):
-                        yield index, int(at) * step, window
-            if window >= top:
-                return
-            m = low.shape[1]
-            low = np.minimum.reduceat(low, np.arange(0, m, 2), axis=1)
+        step, low, top = 1, self._bands(hashes), max(self.groups)
+        while 4 * step <= top:
+            if 4 * step in self.groups:
+                tables, quick = self.groups[4 * step]
+                # a window is four blocks, and windows move by one
+                pairs = np.concatenate([low, np.full((3, BANDS), 0xFFFFFFFF, np.uint32)])
+                pairs = np.minimum(pairs[:-1], pairs[1:])
+                mins = np.minimum(pairs[:-2], pairs[2:])
+                hit = quick[(mins >> np.uint32(20)) + _FIRST]
+                for at, band in zip(*np.nonzero(hit)):
+                    for index in tables[band].get(int(mins[at, band]), ()):
+                        yield index, int(at) * step, 4 * step
+            # blocks of twice the size; an odd one at the end stays by itself
+            even = len(low) // 2 * 2
+            low = np.concatenate([np.minimum(low[0:even:2], low[1:even:2]), low[even:]])
             step *= 2
 
     def scan(self, text: bytes | None) -> dict[int, tuple[float, int]]:
