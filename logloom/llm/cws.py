@@ -92,16 +92,19 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     full = _in_order(docs.select("doc_id", "text"))
     half = F.floor(F.length("text") / 2).cast("int")
     full = full.withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next", half)))
-    both = full.select("part", "rank", F.explode(F.array(F.struct(F.col("text").alias("x"), F.lit(1).alias("own")), F.struct(F.col("edited").alias("x"), F.lit(0).alias("own")))).alias("v"))
-    # explode would put a filter below the shuffle of texts, which then couldn't be shared with `meta`
-    terms = both.select("part", "rank", F.col("v.own").alias("own"), F.explode_outer(words(F.col("v.x"))).alias("w")).select("part", "rank", "own", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("w"))
-    weights = terms.groupBy("part", "rank", "w").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("both"))
-    weights = weights.select("part", "rank", "w", F.log(F.nullif("n", F.lit(0)).cast("double")).alias("own"), F.log(F.nullif(F.col("both") - F.col("n"), F.lit(0)).cast("double")).alias("edited"))
+    # what a row is known by goes along as fixed-width keys, so that texts are shuffled once and results never joined
+    digest = F.sha2("edited", 256)
+    quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+    keys = ["part", "rank", "following", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3"]
+    full = full.select("part", "rank", "following", "doc_id", F.length("text").cast("long").alias("n_chars"), *quarters, "text", "edited")
+    both = full.select(*keys, F.explode(F.array(F.struct(F.col("text").alias("x"), F.lit(1).alias("own")), F.struct(F.col("edited").alias("x"), F.lit(0).alias("own")))).alias("v"))
+    terms = both.select(*keys, F.col("v.own").alias("own"), F.explode_outer(words(F.col("v.x"))).alias("w")).select(*keys, "own", F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("w"))
+    weights = terms.groupBy(*keys, "w").agg(F.sum("own").alias("n"), F.count(F.lit(1)).alias("both"))
+    weights = weights.select(*keys, "w", F.log(F.nullif("n", F.lit(0)).cast("double")).alias("own"), F.log(F.nullif(F.col("both") - F.col("n"), F.lit(0)).cast("double")).alias("edited"))
     least = [F.min(sample(F.col("w"), F.col(x), k)).alias(f"{x}{k}") for k in range(samples) for x in ("own", "edited")]
-    drawn = weights.groupBy("part", "rank").agg(*least)
-    meta = full.select("part", "rank", "following", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     low = lambda x: F.array(*[F.coalesce(F.col(f"{x}{k}").bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int") for k in range(samples)]).alias(x)
-    found = settle(meta.join(drawn, ["part", "rank"], "left").select(*meta.columns, low("own"), low("edited")))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4)])).alias("edited_sha256")
+    found = settle(weights.groupBy(*keys).agg(*least).select("part", "rank", "following", "doc_id", "n_chars", sha, low("own"), low("edited")))
     heads = found.filter("rank = 1").select(F.col("part").alias("p"), F.col("own").alias("head"))
     lead = found.withColumn("lead", F.lead("own").over(Window.partitionBy("part").orderBy("rank")))
     out = lead.join(heads, F.col("following") == F.col("p"), "left").withColumn("next", F.coalesce("lead", "head"))
