@@ -14,7 +14,7 @@ point adds a star of links, so work stays linear in a bucket's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -94,33 +94,39 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the smallest ``doc_id``.
+    """``docs`` with one document of each component: the smallest ``doc_id``; see ``keep_first``."""
+    return keep_first(docs, near_groups(docs, width), partial(fingerprint, width=width))
 
-    Columns are unchanged. Of rows that repeat the kept ``doc_id`` one stays.
-    Rows without ``doc_id`` go if a member of their component has one, else they
-    stay, as nothing names them apart.
+
+def keep_first(docs: DataFrame, groups: DataFrame, key: Callable[[bytes | None], int]) -> DataFrame:
+    """``docs`` with one document of each component of ``groups`` (doc_id, fp, component_id): the smallest ``doc_id``.
+
+    ``key`` gives a text's ``fp`` as an unsigned integer. Columns are unchanged.
+    Of rows that repeat the kept ``doc_id`` one stays. Rows without ``doc_id`` go
+    if a member of their component has one, else they stay, as nothing names
+    them apart.
     """
-    groups = settle(near_groups(docs, width))
+    groups = settle(groups)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     nameless = groups.filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("fp").distinct()
     repeats = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if not nameless.isEmpty():
         empty_ids = out.filter(F.col("doc_id").isNull())
-        out = out.filter(F.col("doc_id").isNotNull()).unionAll(_without(empty_ids, nameless, width))
+        out = out.filter(F.col("doc_id").isNotNull()).unionAll(_without(empty_ids, nameless, key))
     if not repeats.isEmpty():
         again = out.join(repeats, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
         out = out.join(repeats, "doc_id", "left_anti").select(docs.columns).unionAll(again)
     return out
 
 
-def _without(rows: DataFrame, nameless: DataFrame, width: int) -> DataFrame:
+def _without(rows: DataFrame, nameless: DataFrame, key: Callable[[bytes | None], int]) -> DataFrame:
     """Rows whose fingerprint isn't among ``nameless``."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index("text")
-            found = pa.array([signed(fingerprint(x, width)) for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+            found = pa.array([signed(key(x)) for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_fp"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType())])
