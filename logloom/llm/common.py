@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.storage import settle, shared_dir
 
-__all__ = ["WHITE", "WHITE_RE", "WORD_RE", "free_name", "if_small", "settle", "shared_dir", "signed", "store", "word_count", "words"]
+__all__ = ["WHITE", "WHITE_RE", "WORD_RE", "free_name", "if_small", "settle", "shared_dir", "signed", "store", "text_slices", "word_count", "words"]
 
 #: ASCII white space; a word is a maximal run of anything else.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -25,6 +29,18 @@ def store(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 2 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with bounded rows and bytes of text in ``column`` (a longer text is a slice of its own)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            room = (ends[start - 1] if start else 0) + most_bytes
+            end = min(max(start + 1, int(np.searchsorted(ends, room, "right"))), start + most_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

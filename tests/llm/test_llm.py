@@ -149,12 +149,120 @@ def test_units_are_reversible_and_prefix_free():
         assert all(len(u) <= 32 for u in units) and all(len(u) == 32 or u[-1:] in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r") for u in units[:-1])
 
 
+def random_model():
+    rng = np.random.default_rng(1)
+    model = lm_score.Model(rng.integers(0, lm_score._CELLS, int(lm_score.OFFSETS[-1]), dtype=np.uint16), lm_score.huffman(rng.integers(0, 1 << 12, 256)))
+    model.map_all[:] = rng.integers(1, 100, len(model.map_all))
+    model.map_hits[:] = model.map_all * rng.random(len(model.map_all))
+    return model
+
+
 def test_bits_of_a_unit_are_a_distribution():
-    model = lm_score.Model(np.random.default_rng(1).integers(0, 1 << 20, int(lm_score.OFFSETS[-1]), dtype=np.uint32))
-    total = sum(10**x for x in model.cost([(1, bytes([b])) for b in range(256)]))
+    total = (10 ** random_model().cost(np.full(256, 3), [bytes([b]) for b in range(256)])).sum()
     assert abs(total - 1) < 1e-6
 
 
+def plain_slots(state, unit, code):
+    """(place, node, bit, slot of each context) of every bit of a unit, one at a time."""
+    whole_number = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & whole_number
+        return ((x ^ (x >> 32)) * 0xBF58476D1CE4E5B9) & whole_number
+
+    recent, whole = 1, 0xCBF29CE484222325
+    for place, byte in enumerate(unit):
+        keys = [state * 4 + min(place, 3), recent & 0xFF, recent & 0xFFFF | state << 40, recent & 0xFFFFFF, recent & 0xFFFFFFFF, whole, whole ^ ((state + 1) * 0x2545F4914F6CDD1D & whole_number)]
+        keys = [mixed((x + (i + 1) * 0x9E3779B97F4A7C15) & whole_number) for i, x in enumerate(keys)]
+        for depth in range(code.length[byte]):
+            node = int(code.node[depth][byte])
+            spread = node * 0x9FB21C651E98DF25 & whole_number
+            yield place, node, int(code.bit[depth][byte]), [int(o) + (((k + spread) & whole_number) >> (64 - b)) for k, b, o in zip(keys, lm_score.TABLE_BITS, lm_score.OFFSETS)]
+        recent, whole = (recent << 8 | byte) & whole_number, ((whole ^ byte) * 0x100000001B3) & whole_number
+
+
+def plain_cost(model, state, unit):
+    found = 0.0
+    for place, node, bit, slots in plain_slots(state, unit, model.code):
+        cells = [int(model.cells[s]) for s in slots]
+        known = [min(3, (int(lm_score._SURENESS[c]) % 8 + 1) // 2) for c in cells]
+        gate = (known[6] * 4 + known[5]) * 16
+        total = sum(float(model.weights[min(place, 7), i, gate + lm_score._SURENESS[c]]) * float(lm_score._STRETCH[c]) for i, c in enumerate(cells))
+        total = min(11.5, max(-11.5, total))
+        p, at = 1 / (1 + math.exp(-total)), node * 24 + int(total + 12)
+        p = min(1 - 1e-6, max(1e-6, (p + (model.map_hits[at] + 8 * p) / (model.map_all[at] + 8)) / 2))
+        found += math.log10(p if bit else 1 - p)
+    return found
+
+
+def test_cost_bit_by_bit():
+    model, units = random_model(), [*lm_score.units_of(prose(1, 60).encode()), b"stone", b"stonework ", lm_score.END]
+    states = np.arange(len(units)) % 5
+    assert model.cost(states, units) == pytest.approx([plain_cost(model, int(s), u) for s, u in zip(states, units)], abs=1e-4)
+
+
+def test_cells_keep_counts():
+    zeros, ones = np.array([0, 1, 0, 30, 60, 4000, 100000, 900]), np.array([0, 0, 1, 30, 0, 3, 100000, 0])
+    cells = lm_score.cells_of(zeros, ones)
+    assert len(set(cells)) == len(cells) and lm_score._SURENESS[cells[0]] == 0
+    assert lm_score._STRETCH[cells] == pytest.approx(np.log(ones + 0.4) - np.log(zeros + 0.4), abs=0.4)
+    for bit, less in ((0, (zeros - 1, ones)), (1, (zeros, ones - 1))):
+        for k in (1, 3, 4):
+            if less[bit][k] >= 0:
+                assert lm_score._LESS[bit * lm_score._CELLS + cells[k]] == lm_score.cells_of(less[0][k : k + 1], less[1][k : k + 1])[0]
+    assert lm_score._SURENESS[cells[5]] < 8 <= lm_score._SURENESS[cells[7]]  # pure ones stand apart
+
+
+def test_huffman_is_a_prefix_code():
+    code = lm_score.huffman(np.random.default_rng(3).integers(0, 1000, 256) ** 3)
+    paths = ["".join(str(code.bit[d][b]) for d in range(code.length[b])) for b in range(256)]
+    assert sum(2.0 ** -len(x) for x in paths) == 1 and len(set(paths)) == 256
+
+
+def test_classes_follow_the_words(spark):
+    """Texts of two vocabularies share no state, and the state is chosen from earlier units alone."""
+    r = random.Random(5)
+    sides = [[f"{c}{k}" for k in range(40)] for c in "ab"]
+    texts = [" ".join(r.choice(sides[i % 2]) for _ in range(80)) for i in range(60)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    states, _ = lm_score.states_and_code(train, [w.encode() for side in sides for w in side], 60)
+    first = [next(s for s, part in list(states.split(lm_score.units_of(t.encode())))[1:]) for t in texts]
+    assert not set(first[0::2]) & set(first[1::2])
+    for t in texts[:5]:
+        units = lm_score.units_of(t.encode())
+        whole, cut = list(states.split(units)), list(states.split(units[:20]))
+        assert [u for _, part in whole for u in part] == units and whole[0][0] == 0 and cut[:2][1][0] == whole[1][0]
+
+
+def test_scores_are_the_models(docs, monkeypatch):
+    """The counters from plain counting, and every score from the learned model bit by bit."""
+    seen = {}
+
+    def spy(name, keep=None):
+        inner = getattr(lm_score, name)
+        monkeypatch.setattr(lm_score, name, lambda *a: seen.setdefault(name, inner(*a)))
+
+    spy("train_model")
+    spy("states_and_code")
+    some = docs.filter("n_chars < 3000 or n_chars is null")
+    out = lm_score.score(some).collect()
+    model, (states, code) = seen["train_model"], seen["states_and_code"]
+    text = [(r.doc_id, (r.text or "").encode()) for r in some.select("doc_id", "text").collect()]
+    counts = collections.Counter((s, u) for i, t in text if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for s, part in states.split(lm_score.units_of(t)) for u in part)
+    slots = collections.Counter()
+    for (state, unit), n in counts.items():
+        for _, _, bit, where in plain_slots(state, unit, code):
+            for s in where:
+                slots[s, bit] += n
+    used = sorted({s for s, _ in slots})
+    assert (np.flatnonzero(model.cells) == used).all()
+    assert (model.cells[used] == lm_score.cells_of(np.array([slots[s, 0] for s in used]), np.array([slots[s, 1] for s in used]))).all()
+    want = {t: sum(plain_cost(model, s, u) for s, part in states.split(lm_score.units_of(t)) for u in part) for t in {t for _, t in text if len(t) < 1200}}
+    of = {i: t for i, t in text}
+    checked = [r for r in out if of[r.doc_id] in want and list(of).count(r.doc_id) == 1 and r.doc_id is not None]
+    assert len(checked) > 30 and all(abs(r.score - want[of[r.doc_id]]) < 1e-3 for r in checked)
+
+
 def test_score(docs, empty):
     out = lm_score.score(docs).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -185,9 +293,16 @@ def test_more_training_helps(spark):
         away = [k for k in range(10_000, 10_200) if zlib.crc32(str(k).encode()) % 5 == 1]
         rows = [(k, prose(k, 60)) for k in range(n)] + [(k, prose(k, 60)) for k in away]
         out = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out and doc_id >= 10000")
-        return out.agg(F.mean("bits_per_byte")).first()[0]
+        return out.agg(F.mean("bits_per_byte"), F.sum("score"), F.sum("base_score")).first()
+
+    few, many = bits(5), bits(300)
+    assert many[0] < few[0] - 0.05
+
 
-    assert bits(300) < bits(5) - 0.05
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables aren't here")
+def test_beats_the_base_on_held_out_text(spark):
+    found = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > 0.98 * found[1]
 
 
 # --- 3 mixing
