@@ -14,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every neighbour larger than a node onto the smallest
     neighbour, then does the same among the smaller ones; the edges shrink to
     one star a component in a logarithmic number of rounds. Each round is
-    checkpointed. Minima are combined before the shuffle, and the joins back are
-    plain joins that Spark may split where a node is hot. Self-loops, repeated
+    checkpointed, and so are the minima, which are combined before the shuffle: both
+    sides of the joins back are plain shuffles that Spark may split where a node is
+    hot. Self-loops, repeated
     edges and nulls are ignored.
     """
     now = settle(
@@ -24,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = settle(large)
+        least = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = settle(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import settle, signed
+from logloom.llm.common import free_name, if_small, settle, signed, text_slices
 from logloom.llm.components import components
 
 RADIUS = 2
@@ -75,6 +75,13 @@ def links(prints: DataFrame) -> DataFrame:
     return meet.join(stars, "mid").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
 
 
+def near_rows(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp, root) of every row; root names the component by one of its fingerprints."""
+    prints = settle(fingerprints(docs, width))
+    roots = settle(components(links(prints.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    return prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id long) of every row of ``docs``.
 
@@ -85,49 +92,56 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     share fingerprint and component. An empty table gives an empty table. Other
     columns are not read, so their names don't matter.
     """
-    prints = settle(fingerprints(docs, width))
-    names = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(names.select("fp"))).withColumnRenamed("node", "fp")
-    classes = settle(names.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    named = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rows = settle(near_rows(docs, width))
+    named = settle(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return rows.join(named, "root").select("doc_id", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the smallest ``doc_id``; see ``keep_first``."""
-    return keep_first(docs, near_groups(docs, width), partial(fingerprint, width=width))
+    """``docs`` with one row of each component: that of the smallest ``doc_id``; see ``keep_first``."""
+    return keep_first(docs, near_rows(docs, width), partial(fingerprint, width=width))
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, key: Callable[[bytes | None], int]) -> DataFrame:
-    """``docs`` with one document of each component of ``groups`` (doc_id, fp, component_id): the smallest ``doc_id``.
+def keep_first(docs: DataFrame, rows: DataFrame, key: Callable[[bytes | None], int]) -> DataFrame:
+    """``docs`` with one row of each component of ``rows`` (doc_id, fp, root), columns unchanged.
 
-    ``key`` gives a text's ``fp`` as an unsigned integer. Columns are unchanged.
-    Of rows that repeat the kept ``doc_id`` one stays. Rows without ``doc_id`` go
-    if a member of their component has one, else they stay, as nothing names
-    them apart.
+    ``key`` gives a text's ``fp`` as an unsigned integer. The smallest ``doc_id``
+    stays, of several texts with it the one with the smallest ``fp``; of rows that
+    are equal in both one stays. Rows without ``doc_id`` come after all others, so
+    a component without any keeps one of them. Rows are told apart by ``doc_id``
+    alone where it is unique; only for the others ``fp`` is computed again.
     """
-    groups = settle(groups)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    nameless = groups.filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).select("fp").distinct()
-    repeats = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not nameless.isEmpty():
-        empty_ids = out.filter(F.col("doc_id").isNull())
-        out = out.filter(F.col("doc_id").isNotNull()).unionAll(_without(empty_ids, nameless, key))
-    if not repeats.isEmpty():
-        again = out.join(repeats, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-        out = out.join(repeats, "doc_id", "left_anti").select(docs.columns).unionAll(again)
-    return out
-
-
-def _without(rows: DataFrame, nameless: DataFrame, key: Callable[[bytes | None], int]) -> DataFrame:
-    """Rows whose fingerprint isn't among ``nameless``."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = settle(rows)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("best")
+    kept = settle(rows.groupBy("root").agg(best).select("best.doc_id", "best.fp"))
+    repeats = settle(rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    plain = docs.filter(F.col("doc_id").isNotNull())
+    n_repeats = repeats.count()
+    if n_repeats:
+        plain = plain.join(if_small(repeats, n_repeats), "doc_id", "left_anti").select(docs.columns)
+    gone = settle(rows.join(kept, ["doc_id", "fp"], "left_anti").select("doc_id").filter(F.col("doc_id").isNotNull()).distinct())
+    out = plain.join(if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    again = docs.join(if_small(repeats, n_repeats), "doc_id", "left_semi").select(docs.columns) if n_repeats else docs.limit(0)
+    if not rows.filter(F.col("doc_id").isNull()).isEmpty():
+        again = again.unionAll(docs.filter(F.col("doc_id").isNull()))
+    elif not n_repeats:
+        return out
+    at, of = free_name(docs.columns, "_fp"), free_name(docs.columns, "_doc_id")
+    keyed = _keyed(again, key, at)
+    wanted = kept.join(repeats, "doc_id", "left_semi").unionAll(kept.filter(F.col("doc_id").isNull()))
+    wanted = wanted.select(F.col("doc_id").alias(of), F.col("fp").alias(at))
+    found = keyed.join(wanted.withColumnRenamed(at, at + "_"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(at) == F.col(at + "_")), "left_semi")
+    return out.unionAll(found.dropDuplicates(["doc_id", at]).select(docs.columns))
+
+
+def _keyed(rows: DataFrame, key: Callable[[bytes | None], int], name: str) -> DataFrame:
+    """``rows`` with the fingerprint as column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index("text")
-            found = pa.array([signed(key(x)) for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_fp"])
+            for part in text_slices([batch], at):
+                found = pa.array([signed(key(x)) for x in part.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, name])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType())])
-    return rows.mapInArrow(keyed, schema).join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_anti").select(rows.columns)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.llm import components, cws, licenses, lines, lm_score, mixing, packing, quality, simhash, spans, urls
+from logloom.llm import components, cws, licenses, lines, lm_score, mixing, near, packing, quality, simhash, spans, urls
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 WHITE = " \t\n\x0b\x0c\r"
@@ -154,6 +154,7 @@ def random_model():
     model = lm_score.Model(rng.integers(0, lm_score._CELLS, int(lm_score.OFFSETS[-1]), dtype=np.uint16), lm_score.huffman(rng.integers(0, 1 << 12, 256)))
     model.map_all[:] = rng.integers(1, 100, len(model.map_all))
     model.map_hits[:] = model.map_all * rng.random(len(model.map_all))
+    model.settle()
     return model
 
 
@@ -189,6 +190,7 @@ def plain_cost(model, state, unit):
         gate = (known[6] * 4 + known[5]) * 16
         total = sum(float(model.weights[min(place, 7), i, gate + lm_score._SURENESS[c]]) * float(lm_score._STRETCH[c]) for i, c in enumerate(cells))
         total = min(11.5, max(-11.5, total))
+        total = (int((total + 12) * 32) + 0.5) / 32 - 12
         p, at = 1 / (1 + math.exp(-total)), node * 24 + int(total + 12)
         p = min(1 - 1e-6, max(1e-6, (p + (model.map_hits[at] + 8 * p) / (model.map_all[at] + 8)) / 2))
         found += math.log10(p if bit else 1 - p)
@@ -198,7 +200,7 @@ def plain_cost(model, state, unit):
 def test_cost_bit_by_bit():
     model, units = random_model(), [*lm_score.units_of(prose(1, 60).encode()), b"stone", b"stonework ", lm_score.END]
     states = np.arange(len(units)) % 5
-    assert model.cost(states, units) == pytest.approx([plain_cost(model, int(s), u) for s, u in zip(states, units)], abs=1e-4)
+    assert model.cost(states, units) == pytest.approx([plain_cost(model, int(s), u) for s, u in zip(states, units)], rel=0.01)
 
 
 def test_cells_keep_counts():
@@ -226,7 +228,7 @@ def test_classes_follow_the_words(spark):
     texts = [" ".join(r.choice(sides[i % 2]) for _ in range(80)) for i in range(60)]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     states, _ = lm_score.states_and_code(train, [w.encode() for side in sides for w in side], 60)
-    first = [next(s for s, part in list(states.split(lm_score.units_of(t.encode())))[1:]) for t in texts]
+    first = [states.split(lm_score.units_of(t.encode()))[1][0] for t in texts]
     assert not set(first[0::2]) & set(first[1::2])
     for t in texts[:5]:
         units = lm_score.units_of(t.encode())
@@ -260,7 +262,7 @@ def test_scores_are_the_models(docs, monkeypatch):
     want = {t: sum(plain_cost(model, s, u) for s, part in states.split(lm_score.units_of(t)) for u in part) for t in {t for _, t in text if len(t) < 1200}}
     of = {i: t for i, t in text}
     checked = [r for r in out if of[r.doc_id] in want and list(of).count(r.doc_id) == 1 and r.doc_id is not None]
-    assert len(checked) > 30 and all(abs(r.score - want[of[r.doc_id]]) < 1e-3 for r in checked)
+    assert len(checked) > 30 and all(abs(r.score - want[of[r.doc_id]]) < 0.002 * -r.score + 0.01 for r in checked)
 
 
 def test_score(docs, empty):
@@ -455,10 +457,58 @@ def test_links_find_all_close_fingerprints(spark):
 
 def test_drop_near(docs):
     out = simhash.drop_near(docs).collect()
-    ids = [r.doc_id for r in out]
-    named = [i for i in ids if i is not None]
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect() if r.doc_id is not None}
-    assert sorted(named) == sorted(set(groups.values())) and ids.count(None) == 1 and out[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+    groups = [(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()]
+    named = [r.doc_id for r in out if r.doc_id is not None]
+    assert sorted(named) == sorted({c for _, c in groups if c is not None}) and out[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def shingles(text, width=5):
+    w = tuple((text or "").encode().lower().split())
+    return frozenset(w[i : i + width] for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([w] if w else [])
+
+
+def survivors(rows):
+    """Of each component of 5-word Jaccard similarity 0.8 or more the row with the smallest doc_id; nulls come last."""
+    sets = {shingles(t) for _, t in rows}
+    similar = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    order = sorted(sets, key=sorted)
+    number = {s: k for k, s in enumerate(order)}
+    roots = groups_of([(number[a], number[b]) for a, b in itertools.combinations(order, 2) if similar(a, b)], set(number.values()))
+    best = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0], near.key_of((r[1] or "").encode()) - ((near.key_of((r[1] or "").encode()) >> 63) << 64))):
+        best.setdefault(roots[number[shingles(t)]], (i, t))
+    return sorted(best.values(), key=repr)
+
+
+def test_rows_decide_where_ids_repeat(spark):
+    """Equal ids with different texts, null ids, and a column with the name of a working column."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, b, 7), (5, a, 7), (5, b, 7), (9, a, 7), (5, c, 7), (5, c, 8), (None, c, 7), (None, prose(4, 80), 7), (None, prose(4, 80), 7), (None, None, 7), (2, None, 7), (6, "", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _fp long")
+    for drop in (near.drop_near, simhash.drop_near):
+        out = drop(table)
+        assert out.columns == table.columns
+        found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert found == sorted([(1, b), (5, a), (5, c), (None, prose(4, 80)), (2, None)], key=repr)
+
+
+def test_large_clusters_in_blocks(spark, monkeypatch):
+    """Clusters over the bounds of a bucket and of a block lose no link and gain none."""
+    monkeypatch.setattr(near, "BUCKET", 12)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    r = random.Random(4)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for k in range(140):  # some pairs are under 0.8, some over
+        copy = list(base)
+        for _ in range(r.randrange(2, 9)):
+            copy[r.randrange(150)] = f"n{r.randrange(4000)}"
+        rows.append((k, " ".join(copy)))
+    for k in range(140, 160):
+        rows.append((k, prose(k, 60)))
+    found = near.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    left = survivors(rows)
+    assert len(left) > 24 and sorted(((x.doc_id, x.text) for x in found), key=repr) == left
 
 
 # --- 6 quality
@@ -696,14 +746,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in seen["quality"].collect()), key=repr) == sorted(((r[0], r[1]) for r in good), key=repr)
     cut = brute_lines(good)
     assert sorted(((r.doc_id, r.text) for r in seen["lines"].collect()), key=repr) == sorted(((i, t) for i, _, _, t in cut), key=repr)
-    prints = {(i, t): brute_fingerprint(t) for i, _, _, t in cut}
-    roots = groups_of([(a, b) for a, b in itertools.combinations(set(prints.values()), 2) if (a ^ b).bit_count() <= 2], set(prints.values()))
-    heads = {}
-    for (i, t), p in sorted(prints.items(), key=lambda x: key(x[0])):
-        if i is not None:
-            heads.setdefault(roots[p], i)
-    left = {(i, t) for (i, t), p in prints.items() if i == heads.get(roots[p]) or (i is None and roots[p] not in heads)}
-    assert {(r.doc_id, r.text) for r in seen["near"].collect()} == left and seen["near"].count() == len(left)
+    left = survivors([(i, t) for i, _, _, t in cut])
+    assert sorted(((r.doc_id, r.text) for r in seen["near"].collect()), key=repr) == left
     mixed = seen["mix"].collect()
     plan = {(r.doc_id, r.size): r.taken for r in mixing.mix_plan(seen["near"]).collect()}
     times = collections.Counter((r.doc_id, len(words(r.text))) for r in mixed)
