@@ -173,7 +173,7 @@ def plain_slots(state, unit, code):
 
     recent, whole = 1, 0xCBF29CE484222325
     for place, byte in enumerate(unit):
-        keys = [state * 4 + min(place, 3), recent & 0xFF, recent & 0xFFFF | state << 40, recent & 0xFFFFFF, recent & 0xFFFFFFFF, whole, whole ^ ((state + 1) * 0x2545F4914F6CDD1D & whole_number)]
+        keys = [state * 4 + min(place, 3), recent & 0xFF, recent & 0xFFFF | state << 40, recent & 0xFFFFFFFF, whole, whole ^ ((state + 1) * 0x2545F4914F6CDD1D & whole_number)]
         keys = [mixed((x + (i + 1) * 0x9E3779B97F4A7C15) & whole_number) for i, x in enumerate(keys)]
         for depth in range(code.length[byte]):
             node = int(code.node[depth][byte])
@@ -187,7 +187,7 @@ def plain_cost(model, state, unit):
     for place, node, bit, slots in plain_slots(state, unit, model.code):
         cells = [int(model.cells[s]) for s in slots]
         known = [min(3, (int(lm_score._SURENESS[c]) % 8 + 1) // 2) for c in cells]
-        gate = (known[6] * 4 + known[5]) * 16
+        gate = (known[5] * 4 + known[4]) * 16
         total = sum(float(model.weights[min(place, 7), i, gate + lm_score._SURENESS[c]]) * float(lm_score._STRETCH[c]) for i, c in enumerate(cells))
         total = min(11.5, max(-11.5, total))
         total = (int((total + 12) * 32) + 0.5) / 32 - 12
@@ -227,7 +227,7 @@ def test_classes_follow_the_words(spark):
     sides = [[f"{c}{k}" for k in range(40)] for c in "ab"]
     texts = [" ".join(r.choice(sides[i % 2]) for _ in range(80)) for i in range(60)]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
-    states, _ = lm_score.states_and_code(train, [w.encode() for side in sides for w in side], 60)
+    states, _ = lm_score.states_and_code(train, 60)
     first = [states.split(lm_score.units_of(t.encode()))[1][0] for t in texts]
     assert not set(first[0::2]) & set(first[1::2])
     for t in texts[:5]:
