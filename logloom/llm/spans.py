@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; from every sentence the shortest run of consecutive
-sentences with enough words is hashed, and so is the shortest run that ends with
-it. Runs are joined over all documents by hash; every occurrence but the first
-(by doc_id and position) marks its sentences, which are then removed.
+A text is cut into sentences; from every sentence the shortest run of several
+consecutive sentences with enough words is hashed, and so is the shortest run that
+ends with it. A longer run repeats only if these repeat, and they cover it. Runs
+are joined over all documents by hash; every occurrence but the first (by doc_id
+and position) marks its sentences, which are then removed.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import free_name, settle
+from logloom.llm.common import free_name, settle, text_slices
 
-#: Words a run has at least, so that short phrases never count as copies.
-MIN_WORDS = 20
+#: Sentences and words a run has at least; with fewer words, short common phrases would count as copies.
+SEVERAL, MIN_WORDS = 2, 16
 _BREAK = re.compile(rb"(?<=[.!?])[ \t-\r]+|\n[ \t-\r]*")
 
 
@@ -40,33 +41,31 @@ def sentences(text: bytes) -> list[tuple[int, int, int, bytes]]:
 
 
 def runs(found: list[tuple[int, int, int, bytes]], min_words: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest runs from and up to each sentence."""
+    """(first, last) of the shortest runs of SEVERAL sentences and ``min_words`` words from and up to each sentence."""
     out, n = set(), len(found)
-    words = [x[2] for x in found]
-    last, total = -1, 0
+    ends = np.cumsum([0, *(x[2] for x in found)]).tolist()  # words before each sentence
+    last = 0
     for first in range(n):
-        while total < min_words and last + 1 < n:
+        last = max(last, first + SEVERAL - 1)
+        while last < n and ends[last + 1] - ends[first] < min_words:
             last += 1
-            total += words[last]
-        if total < min_words:
+        if last >= n:
             break
         out.add((first, last))
-        total -= words[first]
-    first, total = n, 0
+    first = n - 1
     for last in range(n - 1, -1, -1):
-        while total < min_words and first > 0:
+        first = min(first, last - SEVERAL + 1)
+        while first >= 0 and ends[last + 1] - ends[first] < min_words:
             first -= 1
-            total += words[first]
-        if total < min_words:
+        if first < 0:
             break
         out.add((first, last))
-        total -= words[last]
     return sorted(out)
 
 
 def _emit(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             high, low, row, at = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 if not text:
@@ -99,7 +98,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _rewrite(names: list[str], text_at: int, cut_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, text_at):
             texts, total, gone = batch.column(text_at).cast(pa.binary()).to_pylist(), [], []
             for i, cuts in enumerate(batch.column(cut_at).to_pylist()):
                 found = sentences(texts[i] or b"")
