@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.common import WHITE, settle, store
+from logloom.llm.common import WHITE, free_name, settle, store, text_slices
 
 #: Keys a shard holds on average; bounds the task that builds it.
 SHARD_KEYS = 1 << 16
@@ -117,7 +117,7 @@ class Shard:
 
 def _emit_keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             ids = batch.column(0)
             high, low, row = [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
@@ -158,13 +158,13 @@ def line_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> tuple
     return settle(shards), n_shards
 
 
-def _probe(blobs, n_shards: int, min_chars: int, min_docs: int, names: list[str], last: bool):
+def _probe(blobs, n_shards: int, min_chars: int, min_docs: int, names: list[str], hit_name: str, last: bool):
     """Adds the ordinals of lines to drop; the last pass drops them."""
-    at_id, at_text, at_hits = (names.index(x) for x in ("doc_id", "text", "_hits"))
+    at_id, at_text, at_hits = (names.index(x) for x in ("doc_id", "text", hit_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = {k: Shard(v) for k, v in blobs.value.items()}
-        for batch in batches:
+        for batch in text_slices(batches, at_text):
             texts = batch.column(at_text).cast(pa.binary()).to_pylist()
             ids = batch.column(at_id).to_pylist()
             hits = batch.column(at_hits).to_pylist()
@@ -222,9 +222,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, pass_by
     least), so its size may exceed any executor.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "_hits")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     index, n_shards = line_index(docs, min_chars, min_docs)
-    sizes = sorted((r["shard"], r["bytes"]) for r in index.select("shard", "bytes").toLocalIterator())
+    sizes = sorted((r["shard"], r["bytes"]) for r in index.select("shard", "bytes").collect())  # two numbers for each SHARD_KEYS keys
     passes: list[list[int]] = [[]]
     room = pass_bytes
     for shard, size in sizes:
@@ -233,15 +233,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, pass_by
             room = pass_bytes
         passes[-1].append(shard)
         room -= size
-    out = docs.withColumn("_hits", F.array().cast("array<int>"))
+    hits = free_name(docs.columns, "_hits")
+    out = docs.withColumn(hits, F.array().cast("array<int>"))
     fields = out.schema.fields
     for k, shards in enumerate(passes):
         blobs = {r["shard"]: bytes(r["blob"]) for r in index.filter(F.col("shard").between(shards[0], shards[-1])).collect()} if shards else {}
         last = k == len(passes) - 1
-        kind = T.StructType([T.StructField("n_lines", T.LongType()) if last and f.name == "_hits" else f for f in fields] + ([T.StructField("n_dropped", T.LongType())] if last else []))
-        out = out.mapInArrow(_probe(spark.sparkContext.broadcast(blobs), n_shards, min_chars, min_docs, out.columns, last), kind)
+        kind = T.StructType([T.StructField("n_lines", T.LongType()) if last and f.name == hits else f for f in fields] + ([T.StructField("n_dropped", T.LongType())] if last else []))
+        held = spark.sparkContext.broadcast(blobs)
+        out = out.mapInArrow(_probe(held, n_shards, min_chars, min_docs, out.columns, hits, last), kind)
         if not last:
             out = store(out, "lines")
+            held.destroy()
     return out
 
 
