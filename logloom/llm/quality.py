@@ -3,8 +3,9 @@
 Each document is held against base rules (which reject it by themselves) and
 strict rules. Failures of the base rules are summed by host; each host's failure
 rate is shrunk by a beta prior whose moments come from all hosts; the verdict on
-the host goes back to its documents. On a rejected host, documents must also
-pass the strict rules; elsewhere the base rules decide.
+the host goes back to its documents. A host is rejected if its shrunk rate stands
+out from the prior; there documents must also pass the strict rules, elsewhere the
+base rules decide.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from logloom.llm.common import WHITE_RE, free_name, if_small, settle, store, wor
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host whose shrunk failure rate is above this is rejected.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its shrunk failure rate is above the prior's mean by more than this many of the prior's standard deviations.
+HOST_SPREADS = 0.5
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -77,7 +78,8 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
     strength = F.when(F.col("spread") > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1))).otherwise(F.lit(1e6))
     rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
     both = hosts.join(F.broadcast(prior.select("mean", strength.alias("strength"))))  # one row
-    return both.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > MAX_HOST_RATE).alias("host_rejected"))
+    most = F.col("mean") + HOST_SPREADS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
+    return both.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > most).alias("host_rejected"))
 
 
 def _judged(rows: DataFrame, host: str, verdicts: DataFrame, n_hosts: int) -> DataFrame:
