@@ -15,36 +15,44 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins over all documents."""
     return packing.pack(_docs(spark, sf_dir))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix's plan over all documents."""
     return mixing.mix_plan(_docs(spark, sf_dir))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents, in the contract's columns."""
     found = simhash.near_groups(_docs(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' verdicts on all documents."""
     return quality.judge(_docs(spark, sf_dir))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup of all documents, with a digest of what is kept."""
     kept = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
     return cws.fingerprints(_docs(spark, sf_dir))
 
 
 def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated runs of sentences."""
     return spans.dedup_spans(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates found in all documents."""
     return licenses.scan(_docs(spark, sf_dir))
 
 
@@ -52,11 +60,12 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose number its path carries; bad is low quality or toxic."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("shown"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    shown = pages.select("page_id", urls.document_number(F.col("url")).alias("shown"))
-    return urls.judge(pages, shown.join(labels, "shown").select("page_id", "bad"))
+    shown = pages.select("url", urls.document_number(F.col("url")).alias("shown"))
+    return urls.judge(pages, shown.join(labels, "shown").select("url", "bad"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
     return lm_score.score(_docs(spark, sf_dir))
 
 
@@ -112,7 +121,7 @@ j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM j GROUP BY source),
 p AS (SELECT sum(bad) / sum(n) AS m, var_pop(bad / n) AS s FROM h),
 k AS (SELECT m, CASE WHEN s > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / s - 1)) ELSE 1e6 END AS z FROM p),
-y AS (SELECT source, (bad + m * z) / (n + z) > {quality.MAX_HOST_RATE} AS rejected FROM h, k)
+y AS (SELECT source, (bad + m * z) / (n + z) > m + {quality.HOST_SPREADS} * sqrt(m * (1 - m) / (z + 1)) AS rejected FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rejected AND strict_failed) AS kept
 FROM j JOIN y ON j.source IS NOT DISTINCT FROM y.source""",
     "op9_lines": f"""

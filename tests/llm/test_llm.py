@@ -365,16 +365,15 @@ def brute_spans(rows, least):
     for r in sorted({(x[0], x[1]) for x in rows}, key=key):
         found = cut[r] = spans.sentences((r[1] or "").encode())
         norm, n = [x[3] for x in found], [x[2] for x in found]
+        enough = lambda a, b: b - a + 1 >= 2 and sum(n[a : b + 1]) >= least
         for a in range(len(found)):
             for b in range(a, len(found)):
-                total = sum(n[a : b + 1])
-                if total >= least:
-                    minimal = total - n[b] < least or total - n[a] < least
-                    if minimal:
+                if enough(a, b):
+                    if not enough(a, b - 1) or not enough(a + 1, b):
                         k = tuple(norm[a : b + 1])
                         if first.setdefault(k, (r, a, b)) != (r, a, b):
                             cover[r] |= set(range(a, b + 1))
-                    if total - n[b] >= least and total - n[a] >= least:
+                    else:
                         break
     return {r: b"".join((r[1] or "").encode()[s:e] for k, (s, e, *_) in enumerate(c) if k not in cover[r]) if cover[r] else r[1] for r, c in cut.items()}
 
@@ -396,6 +395,15 @@ def test_spans(spark, docs, empty):
     assert spans.dedup_spans(empty).count() == 0
 
 
+def test_every_repeated_run_of_sentences_goes(spark):
+    """A run of several short sentences goes, one long sentence alone stays."""
+    run = "Some words stand here. They come again here. And so do these few words. Now it ends."
+    lone = " ".join(f"long{k}" for k in range(40)) + "."
+    rows = [(k, f"Start {k} of its own. {run if k % 2 else lone} Another end {k} for it.") for k in range(6)]
+    kept = {r.doc_id: r.text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert run in kept[1] and not any("few words" in kept[k] for k in (3, 5)) and all(lone in kept[k] for k in (0, 2, 4))
+
+
 # --- 5 SimHash
 
 
@@ -523,11 +531,28 @@ def brute_stats(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(full) - len(set(full)), len(inside)
 
 
+def brute_good(rows):
+    """The rows that the base rules keep and, on hosts whose shrunk rate stands out, the strict rules too."""
+    stats = [brute_stats(r[1]) for r in rows]
+    bad = [s[0] < 50 or 2 * s[4] > s[0] for s in stats]
+    strict = [10 * s[2] > s[0] or 10 * s[3] > s[0] or s[1] < 2 * s[0] or s[1] > 15 * s[0] for s in stats]
+    hosts = collections.defaultdict(list)
+    for r, b in zip(rows, bad):
+        hosts[r[3]].append(b)
+    mean, rates = sum(bad) / len(bad), [sum(x) / len(x) for x in hosts.values()]
+    spread = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates)
+    strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
+    most = mean + 0.5 * math.sqrt(mean * (1 - mean) / (strength + 1))
+    rejected = {h for h, x in hosts.items() if (sum(x) + mean * strength) / (len(x) + strength) > most}
+    return [r for r, b, s in zip(rows, bad, strict) if not b and not (s and r[3] in rejected)]
+
+
 def test_quality(docs, empty):
     out = quality.judge(docs).collect()
     want = sorted(((i, *brute_stats(t)) for i, t, *_ in corpus()), key=repr)
     assert sorted((tuple(r)[:6] for r in out), key=repr) == want
     assert all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) for r in out)
+    assert sorted((r.doc_id for r in out if r.kept), key=repr) == sorted((r[0] for r in brute_good(corpus())), key=repr)
     assert all(r.kept for r in out if r.doc_id is not None and r.doc_id < 30 and r.n_words >= 50) and not any(r.kept for r in out if r.base_failed)
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
     clash = docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1))
@@ -611,7 +636,7 @@ URLS = ["http://A.example.com/en/1", "https://www.example.com/en/x?y#z", "http:/
 
 def test_urls(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
-    none = spark.createDataFrame([], "page_id long, bad boolean")
+    none = spark.createDataFrame([], "url string, bad boolean")
     out = urls.judge(pages, none).collect()
     want = [(k, *brute_rule(u)) for k, u in [*enumerate(URLS), (0, URLS[0])]]
     assert sorted(map(tuple, out), key=repr) == sorted(((k, h, p, r, v or "allow") for k, h, p, r, v in want), key=repr)
@@ -621,9 +646,16 @@ def test_urls(spark):
 def test_mined_rules(spark):
     rows = [(k, f"http://s{k % 7}.{'bets' if k % 3 == 0 else 'news'}.org/{'win' if k % 2 else 'read'}/{k}") for k in range(900)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    bad = [(k, "bets" in u and "win" in u) for k, u in rows if k % 2 == 1 or k % 4 == 0]
-    out = urls.judge(pages, spark.createDataFrame(bad, "page_id long, bad boolean")).collect()
+    bad = [(u, "bets" in u and "win" in u) for k, u in rows if k % 2 == 1 or k % 4 == 0]
+    out = urls.judge(pages, spark.createDataFrame(bad, "url string, bad boolean")).collect()
     assert all((r.verdict == "block") == ("bets" in r.host and "win" in r.path) for r in out)
+    # repeated pages with labels of their own don't multiply, and a rule of six tokens that no part of it bears out is found
+    again = pages.unionAll(pages.limit(50).unionAll(pages.limit(50)))
+    assert urls.judge(again, spark.createDataFrame(bad * 2, "url string, bad boolean")).count() == again.count()
+    six = ["a", "b", "c", "d", "e", "f"]
+    apart = [([t for t in six if t != gone], False) for gone in six] * 20 + [(six, True)] * 20
+    found = urls.mine(spark.createDataFrame(apart, "tokens array<string>, bad boolean"))
+    assert [(r.tokens, r.confidence) for r in found.collect()] == [(six, 1.0)]
     found = urls.mine(spark.createDataFrame([(["a", "b"], True)] * 30 + [(["a"], False)] * 30 + [(None, True)], "tokens array<string>, bad boolean"))
     assert [(r.tokens, r.confidence) for r in found.collect()] == [(["b"], 1.0)]
 
@@ -652,6 +684,7 @@ def test_lines(docs, empty):
         out = lines.dedup_lines(docs.withColumn("N_LINES", F.lit(1)), pass_bytes=room)
         assert rows_of(out.fillna({"text": ""}), "doc_id", "n_lines", "n_dropped", "text") == brute_lines(corpus())
     assert lines.dedup_lines(empty).count() == 0
+    assert {r["_hits"] for r in lines.dedup_lines(docs.withColumn("_hits", F.lit(5))).collect()} == {5}
     clash = docs.withColumn("n_lines", F.lit("mine"))
     kept = lines.drop_lines(clash)
     assert kept.columns == clash.columns and {r.n_lines for r in kept.collect()} == {"mine"}
@@ -742,7 +775,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name != "pack":
             assert now.columns == frame.columns
     key = lambda r: (r[0] if r[0] is not None else -1, r[1])
-    good = [r for r in rows if not ((s := brute_stats(r[1]))[0] < 50 or 2 * s[4] > s[0])]
+    good = brute_good(rows)
     assert sorted(((r.doc_id, r.text) for r in seen["quality"].collect()), key=repr) == sorted(((r[0], r[1]) for r in good), key=repr)
     cut = brute_lines(good)
     assert sorted(((r.doc_id, r.text) for r in seen["lines"].collect()), key=repr) == sorted(((i, t) for i, _, _, t in cut), key=repr)
