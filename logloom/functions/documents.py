@@ -79,42 +79,44 @@ class Pairs(list):
 
 
 def diff_to_update(diff: dict, path: str = "") -> tuple[Pairs, bool]:
-    """A delta document as (update operators in order, whether they form a pipeline).
+    """A delta document as (update operators in order, whether they are the stages of a pipeline).
 
-    ``d`` removes, ``i`` and ``u`` set, ``s<name>`` descends, ``u<n>`` in an array
-    sets an element, ``l`` cuts an array. A cut is a pipeline stage; it must come
-    first on its level, and a pipeline from below replaces what was gathered.
+    On a level ``d`` names fields to remove, ``i`` and ``u`` fields to set, and
+    ``s<name>`` holds the delta of a field; in an array's delta (marked by ``a``)
+    ``u<n>`` holds an element and ``l`` the new length. Every part takes effect.
+    Only a pipeline can cut an array; its cuts come before all other changes, so
+    a level that names a cut after other changes is an error.
     """
-    out = Pairs()
-    under = lambda name: f"{path}.{name}" if path else name
-    named = lambda fields: {under(k): v for k, v in fields.items()}
-    for key, value in diff.items():
-        if key == "a" and value is True:
-            continue
-        if key == "l":
-            if out:
-                raise ValueError(f"array cut at {path!r} after other changes")
-            return Pairs([("$set", {path: {"$slice": [f"${path}", value]}})]), True
-        if key == "d":
-            out.append(("$unset", named(value)))
-        elif key in ("i", "u"):
-            out.append(("$set", named(value)))
-        elif key[:1] == "s" and len(key) > 1:
-            below, pipeline = diff_to_update(value, under(key[1:]))
-            if pipeline:
-                return below, True
-            out.extend(below)
-        elif key[:1] == "u" and len(key) > 1:
-            out.append(("$set", {under(key[1:]): value}))
-        else:
-            raise ValueError(f"unknown delta field {key!r} at {path!r}")
-    return out, False
+    cuts, changes = Pairs(), Pairs()
+
+    def walk(level: dict, at: str) -> None:
+        full = (lambda name: f"{at}.{name}") if at else (lambda name: name)
+        before = len(changes)
+        for key, value in level.items():
+            kind, name = key[:1], key[1:]
+            if key == "a" and value is True:
+                pass
+            elif key == "l" and len(changes) == before:
+                cuts.append(("$set", {at: {"$slice": [f"${at}", value]}}))
+            elif key in ("d", "i", "u"):
+                changes.append(("$unset" if key == "d" else "$set", {full(k): v for k, v in value.items()}))
+            elif kind == "u" and name:
+                changes.append(("$set", {full(name): value}))
+            elif kind == "s" and name:
+                walk(value, full(name))
+            else:
+                raise ValueError(f"delta field {key!r} at {at!r}")
+
+    walk(diff, path)
+    return Pairs([*cuts, *changes]), bool(cuts)
 
 
 def diff_text(text: str | None) -> str:
     """``diff_to_update`` from text to text; a pipeline becomes an array of stages."""
     found, pipeline = diff_to_update(load(text))
-    return "[" + found.text() + "]" if pipeline else found.text()
+    if not pipeline:
+        return found.text()
+    return "[" + ",".join(save({name: list(fields) if name == "$unset" else fields}) for name, fields in found) + "]"
 
 
 def rewrite_dbref(value, db: str, rename: Callable[[str], str]):

@@ -32,12 +32,16 @@ def without(names: DataFrame, excluded: list[str]) -> DataFrame:
 def row_difference(source: DataFrame, target: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, state) of rows that are missing, extra or different in the target.
 
-    Both sides are reduced to key and digest before they meet.
+    Both sides are reduced to key and digest before they meet. A null value
+    differs from every other; rows with null keys meet by them.
     """
-    digest = lambda side: F.xxhash64(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")) for v in values]).alias(side)
-    both = source.select(*keys, digest("s")).join(target.select(*keys, digest("t")), keys, "full_outer")
+    digest = F.xxhash64(*[x for v in values for x in (F.col(v).isNull(), F.coalesce(F.col(v).cast("string"), F.lit("")))])
+    left = source.select(*[F.col(k).alias(f"s_{k}") for k in keys], digest.alias("s"))
+    right = target.select(*[F.col(k).alias(f"t_{k}") for k in keys], digest.alias("t"))
+    same = [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in keys]
+    both = left.join(right, same, "full_outer")
     state = F.when(F.col("t").isNull(), "missing").when(F.col("s").isNull(), "extra").when(F.col("s") != F.col("t"), "different")
-    return both.select(*keys, state.alias("state")).filter("state is not null")
+    return both.select(*[F.coalesce(f"s_{k}", f"t_{k}").alias(k) for k in keys], state.alias("state")).filter("state is not null")
 
 
 def count_report(source: DataFrame, target: DataFrame) -> DataFrame:

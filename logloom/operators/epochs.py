@@ -14,21 +14,23 @@ MAX_COUNT, MAX_BYTES = 1000, 12 << 20
 MAX_BARRIERS = 100_000
 
 
-def barrier_epochs(logs: DataFrame, order: list[str], barrier: str = "is_barrier") -> DataFrame:
+def barrier_epochs(logs: DataFrame, order: list[str], barrier: str = "is_barrier", max_barriers: int = MAX_BARRIERS) -> DataFrame:
     """``logs`` with ``epoch``: 2 k between barriers, 2 k + 1 for the k-th barrier itself.
 
     ``order`` names columns that order all rows. Rows that share the place of a
     barrier (a transaction's operations, all but the last of ``order`` equal)
     share its epoch. Only barriers are ordered globally; they are few, as each
     stops the flow. Their places are broadcast as a sorted array in which every
-    row finds its epoch by binary search; no window over all rows is needed.
+    row finds its epoch by binary search; no window over all rows is needed. Beyond
+    ``max_barriers`` places the same epochs come from counts by range. A null flag
+    is no barrier.
     """
     place = F.struct(*order)
     places = logs.filter(barrier).select(place.alias("p")).distinct()
-    n = places.limit(MAX_BARRIERS + 1).count()
-    if n > MAX_BARRIERS:
+    n = places.limit(max_barriers + 1).count()
+    if n > max_barriers:
         return _epochs_by_range(logs, order, barrier)
-    table = F.broadcast(places.agg(F.array_sort(F.collect_set("p")).alias("_places")))  # MAX_BARRIERS at most
+    table = F.broadcast(places.agg(F.array_sort(F.collect_set("p")).alias("_places")))  # max_barriers at most
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n).bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_places", at + s - 1) < place, at + s).otherwise(at))
     return logs.crossJoin(table).withColumn("epoch", (2 * below + F.coalesce((F.get("_places", below) == place).cast("int"), F.lit(0))).cast("long")).drop("_places")
@@ -45,11 +47,11 @@ def _epochs_by_range(logs: DataFrame, order: list[str], barrier: str) -> DataFra
     counts = rows.filter(barrier).groupBy("_part").agg(F.count_distinct(place).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(F.broadcast(counts.select("_part", before.alias("_before"), "n")), "_part", "left")
-    along = Window.partitionBy("_part").orderBy(*order)
-    first = F.coalesce(F.lag(place).over(along) != place, F.lit(True)) & F.col(barrier)
-    rows = rows.withColumn("_first", first)
-    upto = F.sum(F.col("_first").cast("long")).over(along)
-    return rows.withColumn("epoch", 2 * (F.coalesce("_before", F.lit(0)) + upto) - F.col(barrier).cast("long")).drop("_part", "_before", "n", "_first")
+    tied = Window.partitionBy("_part", *order)
+    rows = rows.withColumn("_at", F.max(F.coalesce(F.col(barrier), F.lit(False))).over(tied))
+    rows = rows.withColumn("_first", F.col("_at") & (F.row_number().over(tied.orderBy(F.col("_at"))) == 1))  # one row for each barrier's place
+    upto = F.sum(F.col("_first").cast("long")).over(Window.partitionBy("_part").orderBy(*order))  # rows of one place are peers
+    return rows.withColumn("epoch", 2 * (F.coalesce("_before", F.lit(0)) + upto) - F.col("_at").cast("long")).drop("_part", "_before", "n", "_first", "_at")
 
 
 def consecutive_runs(logs: DataFrame, worker: list[str], order: list[str], keys: list[str] = ("ns", "op"), max_count: int | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,18 @@ def ts_bounds(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.max("newest").alias("biggest_new"), F.min("newest").alias("smallest_new"), F.max("oldest").alias("biggest_old"), F.min("oldest").alias("smallest_old"))
 
 
-def per_second(logs: DataFrame, second: str = "ts_t") -> DataFrame:
-    """(second, n, total, delta): the running count and its change since the last second with logs."""
-    counts = logs.groupBy(F.col(second).alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    total = running(counts, "second", "sum", "n", "total")
-    return total.withColumn("delta", F.col("n"))
+def per_second(logs: DataFrame, second: str = "ts_t", every: int = 1) -> DataFrame:
+    """(second, n, total, delta): the success counter as it stands every so many seconds, and its change since the time before.
+
+    There is a row for every tick from the first log to the last, also where no
+    log came.
+    """
+    counts = logs.groupBy((F.floor(F.col(second) / every) * every).alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = counts.agg(F.min("second"), F.max("second")).first()
+    ticks = logs.sparkSession.range(lo or 0, (hi or 0) + 1 if hi is not None else 0, every).select(F.col("id").alias("second"))
+    filled = ticks.join(counts, "second", "left").select("second", F.coalesce("n", F.lit(0)).alias("n"))
+    total = running(filled, "second", "sum", "n", "total")
+    return total.withColumn("delta", F.col("total") - F.coalesce(F.lag("total").over(Window.partitionBy(F.floor(F.col("second") / (every * 4096))).orderBy("second")), F.col("total") - F.col("n")))
 
 
 def running(frame: DataFrame, order: str, kind: str, column: str, name: str, parts: int = 64) -> DataFrame:
@@ -56,9 +66,29 @@ def running_max(logs: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def moving_mean(logs: DataFrame, key: list[str], order: list[str], size: str) -> DataFrame:
-    """(key, mean, largest): (mean + size) / 2 along the order, from 0."""
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("double").alias("_s")))), lambda x: x["_s"])
-    return logs.groupBy(*key).agg(F.aggregate(sizes, F.lit(0.0), lambda a, x: (a + x) / 2).alias("mean"), F.max(size).alias("largest"))
+    """(key, mean, largest): (mean + size) / 2 along the order, from 0.
+
+    Rows stream through sorted partitions; one mean is held at a time.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, mean, largest = None, 0.0, None
+        for frame in frames:
+            done = []
+            for row in zip(*[frame[k] for k in key], frame[size]):
+                *own, x = row
+                if now is not None and own != now:
+                    done.append((*now, mean, largest))
+                if own != now:
+                    now, mean, largest = own, 0.0, None
+                mean, largest = (mean + x) / 2, x if largest is None else max(largest, x)
+            yield pd.DataFrame(done, columns=[*key, "mean", "largest"])
+        if now is not None:
+            yield pd.DataFrame([(*now, mean, largest)], columns=[*key, "mean", "largest"])
+
+    kinds = ", ".join(f"{k} {logs.schema[k].dataType.simpleString()}" for k in key)
+    rows = logs.select(*key, *order, size).repartition(*key).sortWithinPartitions(*key, *order)
+    return rows.mapInPandas(run, f"{kinds}, mean double, largest {logs.schema[size].dataType.simpleString()}")
 
 
 def progress(collections: DataFrame) -> DataFrame:

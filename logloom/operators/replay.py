@@ -108,13 +108,13 @@ def _apply(doc: dict | None, op: str, o: dict, o2: dict, upsert: bool, dup: str)
     if doc is None and not upsert:
         return None
     if o.get("$v") == 2 and "diff" in o:
-        changes, pipeline = D.diff_to_update(o["diff"])
-        if pipeline:
-            (_, cut), = changes
-            (path, how), = cut.items()
-            return D.apply_update(doc, {"$set": {path: D.at_path(doc or {}, path)[: how["$slice"][1]]}})
+        changes, _ = D.diff_to_update(o["diff"])
         for name, fields in changes:
-            doc = D.apply_update(doc or dict(o2), {name: fields})
+            doc = doc or dict(o2)
+            cut = [(path, v["$slice"][1]) for path, v in fields.items() if name == "$set" and isinstance(v, dict) and v.get("$slice", [None])[0] == f"${path}"]
+            for path, length in cut:
+                fields = {path: (D.at_path(doc, path) or [])[:length]}
+            doc = D.apply_update(doc, {name: fields})
         return doc
     return D.apply_update(doc if doc is not None else dict(o2), o)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.documents import first_field, has_field
@@ -77,8 +77,7 @@ def release(classified: DataFrame) -> DataFrame:
     come before it. A released operation keeps its data entry's ts. A transaction
     is no barrier if it is one entry without commands, committed by itself, first
     of its kind (its previous optime is empty). Entries of a transaction meet by
-    (lsid, txn_number); only one aggregate row per transaction is shuffled and
-    joined, not its operations.
+    (lsid, txn_number) in one aggregate row, which the entries are joined with.
     """
     order = F.struct("ts_t", "ts_i", "seq")
     final = classified.filter("is_txn").groupBy("lsid", "txn_number").agg(
@@ -87,11 +86,11 @@ def release(classified: DataFrame) -> DataFrame:
         F.count_if("is_data").alias("n_data"),
         F.max("commit").alias("by_commit"),
         F.max("is_multi").alias("multi"),
+        F.max(F.col("is_data") & F.coalesce(F.exists(F.from_json(F.get_json_object("o", "$.applyOps"), INNER), lambda x: x["op"] == "c"), F.lit(False))).alias("has_command"),
     )
     done = final.filter(F.col("end").isNotNull() & ~F.col("aborted"))
     inner = explode_ops(classified.filter("is_txn and is_data")).join(done, ["lsid", "txn_number"]).filter(order <= F.col("end"))
-    has_command = F.max(F.col("op") == "c").over(Window.partitionBy("lsid", "txn_number"))
-    inner = inner.withColumn("is_barrier", F.col("multi") | F.col("by_commit") | (F.col("n_data") > 1) | has_command)
+    inner = inner.withColumn("is_barrier", F.col("multi") | F.col("by_commit") | (F.col("n_data") > 1) | F.col("has_command"))
     inner = inner.withColumns({"release_t": F.col("end.ts_t"), "release_i": F.col("end.ts_i"), "release_seq": F.col("end.seq")})
     rest = classified.filter(~F.col("is_txn"))
     apply_ops = (F.col("op") == "c") & (first_field(F.col("o")) == "applyOps")

@@ -13,20 +13,23 @@ from logloom.operators import commands, ddl, epochs, filters, orphan, replay, tr
 from logloom.storage import settle
 
 
-def full_copy(snapshot: DataFrame, config: Config, keys: list[str], chunks: DataFrame | None = None, chunk_keys: list[Column] | None = None) -> DataFrame:
+def full_copy(snapshot: DataFrame, config: Config, keys: list[str], chunks: DataFrame | None = None, chunk_keys: list[Column] | None = None, order: list[str] | None = None) -> DataFrame:
     """The rows of a snapshot (with ns) to write: filtered, without orphans, renamed, and one row a key.
 
-    Without the option to update duplicates a repeated key fails the job.
+    With the option to update duplicates the last row by ``order`` stays (by all
+    columns where no order is given). Without it a repeated key fails the job.
     """
     ns = F.col("ns")
     out = snapshot.filter(~filters.chain(filters.drop_own_ns(ns, config.filter_pass_special_db), filters.drop_ns(ns, config.filter_namespace_white, config.filter_namespace_black)))
     if config.full_sync_executor_filter_orphan_document and chunks is not None:
         out = orphan.owned(out, chunks, chunk_keys or [F.col(k) for k in keys])
     out = out.withColumn("ns", transforms.rename(ns, transforms.parse_rules(config.transform_namespace)))
-    if config.full_sync_executor_insert_on_dup_update:
-        rest = [c for c in out.columns if c not in ("ns", *keys)]
-        return out.groupBy("ns", *keys).agg(F.max(F.struct(*rest)).alias("_r")).select("ns", *keys, "_r.*")
-    return out
+    rest = F.struct(*[c for c in out.columns if c not in ("ns", *keys)])
+    last = F.max_by(rest, F.struct(*order)) if order else F.max(rest)
+    one = out.groupBy("ns", *keys).agg(last.alias("_r"), F.count(F.lit(1)).alias("_n"))
+    if not config.full_sync_executor_insert_on_dup_update:
+        one = one.withColumn("_r", F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("duplicate key in "), F.col("ns")))))
+    return one.select("ns", *keys, "_r.*")
 
 
 def incremental(logs: DataFrame, config: Config) -> DataFrame:

@@ -332,6 +332,25 @@ def barrier_epochs(spark, sf_dir):
     return epochs.barrier_epochs(log, ["ts_t", "ts_i", "seq"]).select("seq", "epoch")
 
 
+TIES = f"""WITH {LOG}, p AS (SELECT DISTINCT seq // 4 AS place FROM log WHERE seq % 97 = 0)
+SELECT seq, CAST(2 * (SELECT count(*) FROM p WHERE p.place < log.seq // 4) + CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.place = log.seq // 4) THEN 1 ELSE 0 END AS BIGINT) AS epoch FROM log"""
+
+
+def _tied(spark, sf_dir):
+    """Four rows share a place; of the flags some are null."""
+    return flat_log(spark, sf_dir).select("seq", F.floor(F.col("seq") / 4).alias("place"), F.when(F.col("seq") % 97 == 0, True).when(F.col("seq") % 2 == 0, False).alias("is_barrier"))
+
+
+@query(TIES)
+def barrier_epochs_ties(spark, sf_dir):
+    return epochs.barrier_epochs(_tied(spark, sf_dir), ["place"]).select("seq", "epoch")
+
+
+@query(TIES)
+def barrier_epochs_by_range(spark, sf_dir):
+    return epochs.barrier_epochs(_tied(spark, sf_dir), ["place"], max_barriers=0).select("seq", "epoch")
+
+
 RUNS = f"""{LOG}, r AS (SELECT *, CASE WHEN op IS DISTINCT FROM lag(op) OVER (PARTITION BY ns {ORDER}) THEN 1 ELSE 0 END AS new FROM log),
 runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY ns {ORDER}) AS BIGINT) AS run FROM r)"""
 
@@ -565,6 +584,14 @@ def ns_difference(spark, sf_dir):
     return compare.name_difference(log.filter("id % 5 < 3"), log.filter("id % 5 > 1"))
 
 
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey END AS key, o_orderkey AS line, 'different' AS state FROM orders WHERE o_orderkey % 10 = 4")
+def null_difference(spark, sf_dir):
+    """Null keys meet by them, and a null isn't any text."""
+    source = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("key"), F.col("o_orderkey").alias("line"), F.lit("\0").alias("note"))
+    target = source.withColumn("note", F.when(F.col("line") % 10 != 4, F.col("note")))
+    return compare.row_difference(source, target, ["key", "line"], ["note"])
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 10 WHEN 3 THEN 'missing' ELSE 'different' END AS state FROM orders WHERE o_orderkey % 10 IN (3, 4) UNION ALL SELECT o_orderkey + 100000000, 'extra' FROM orders WHERE o_orderkey % 10 = 5")
 def source_target_diff(spark, sf_dir):
     source = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -624,9 +651,22 @@ def op_totals(spark, sf_dir):
     return metrics.totals(flat_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, c AS (SELECT ts_t AS second, count(*) AS n FROM log GROUP BY 1) SELECT second, n, CAST(sum(n) OVER (ORDER BY second) AS BIGINT) AS total, n AS delta FROM c")
+@query(
+    f"""WITH {LOG}, c AS (SELECT ts_t // 600 * 600 AS second, count(*) AS n FROM log GROUP BY 1),
+t AS (SELECT CAST(unnest(generate_series(min(second), max(second), 600)) AS BIGINT) AS second FROM c),
+r AS (SELECT t.second, coalesce(c.n, 0) AS n, CAST(sum(coalesce(c.n, 0)) OVER (ORDER BY t.second) AS BIGINT) AS total FROM t LEFT JOIN c ON c.second = t.second)
+SELECT second, n, total, total - lag(total, 1, 0) OVER (ORDER BY second) AS delta FROM r"""
+)
 def tps_per_second(spark, sf_dir):
-    return metrics.per_second(flat_log(spark, sf_dir))
+    return metrics.per_second(flat_log(spark, sf_dir), every=600)
+
+
+@query("SELECT 'db.c' AS ns, o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def full_copy_last(spark, sf_dir):
+    """The last row of a repeated key stays."""
+    rows = table(spark, sf_dir, "orders").select(F.lit("db.c").alias("ns"), "o_custkey", "o_orderkey", "o_orderdate")
+    config = Config.parse("full_sync.executor.insert_on_dup_update = true")
+    return pipelines.full_copy(rows, config, ["o_custkey"], order=["o_orderkey"]).select("ns", "o_custkey", "o_orderkey")
 
 
 @query(f"WITH {LOG} SELECT seq, max(ts_t) OVER (ORDER BY seq) AS gauge FROM log")

@@ -10,6 +10,7 @@ from logloom.functions import documents as D
 from logloom.functions import hashing as H
 from logloom.functions import values as V
 from logloom.operators import checkpoint, commands, epochs, filters, orphan, replay, transforms, txn
+from logloom.plans import pipelines
 from logloom.sources import readers, tunnel_file
 from logloom.streaming import apply
 
@@ -117,6 +118,9 @@ def test_diff():
         ("$unset", {"arrname.m1.n": False}), ("$set", {"arrname.n1.l": 2}), ("$set", {"arrname.0": {"count": 10, "nm": "e"}}),
     ]
     assert D.diff_to_update({"sarrname": {"a": True, "l": 1}}) == ([("$set", {"arrname": {"$slice": ["$arrname", 1]}})], True)
+    assert D.diff_to_update({"u": {"x": 1}, "sarr": {"a": True, "l": 2, "u0": 7}}) == ([("$set", {"arr": {"$slice": ["$arr", 2]}}), ("$set", {"x": 1}), ("$set", {"arr.0": 7})], True)
+    assert replay._apply({"x": 0, "arr": [1, 2, 3]}, "u", {"$v": 2, "diff": {"u": {"x": 1}, "sarr": {"a": True, "l": 2, "u0": 7}}}, {}, True, "skip") == {"x": 1, "arr": [7, 2]}
+    assert D.diff_text('{"d":{"q":false},"sarr":{"a":true,"l":1}}') == '[{"$set":{"arr":{"$slice":["$arr",1]}}},{"$unset":["q"]}]'
     for wrong in ({"q": 1}, {"s1": {"i": {"a": 1}, "l": 2}}):
         with pytest.raises(ValueError):
             D.diff_to_update(wrong)
@@ -153,6 +157,13 @@ def test_epochs_by_range_agree(spark):
     assert (near[2], near[3], near[4], near[10]) == (0, 1, 2, 3)
 
 
+def test_full_copy_fails_on_a_repeated_key(spark):
+    rows = spark.createDataFrame([("a.b", 1, "x"), ("a.b", 1, "y"), ("a.b", 2, "z")], "ns string, id long, v string")
+    with pytest.raises(Exception, match="duplicate key in a.b"):
+        pipelines.full_copy(rows, Config.parse(""), ["id"]).collect()
+    assert pipelines.full_copy(rows.filter("v <> 'x'"), Config.parse(""), ["id"]).count() == 2
+
+
 def txn_rows(spark, rows):
     return spark.createDataFrame([(k, 100 + k, 0, "c" if o.startswith('{"ap') or "Transaction" in o else "i", "a.b", o, None, b"s" if t is not None else None, t, None) for k, (o, t) in enumerate(rows)], "seq long, ts_t long, ts_i long, op string, ns string, o string, o2 string, lsid binary, txn_number long, prev_optime binary")
 
