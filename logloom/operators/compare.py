@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.metrics import running
+
 
 def union_names(*catalogs: DataFrame) -> DataFrame:
     """Namespaces of all sources, each once."""
@@ -14,6 +16,14 @@ def union_names(*catalogs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def merged(sources: list[DataFrame], order: str) -> DataFrame:
+    """All sources' rows with ``place``, their order by a whole number over all of them."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s)
+    return running(out.withColumn("_one", F.lit(1).cast("long")), order, "sum", "_one", "place").drop("_one")
+
+
 def by_database(names: DataFrame) -> DataFrame:
     """(db, colls) with the collections in order."""
     return names.groupBy(F.substring_index("ns", ".", 1).alias("db")).agg(F.array_sort(F.collect_set(F.get(F.split("ns", r"\.", 2), F.lit(1)))).alias("colls"))

@@ -75,6 +75,15 @@ def any_unique(indexes: DataFrame) -> DataFrame:
     return indexes.groupBy("ns").agg(F.bool_or(F.col("is_unique") & ~only_id).alias("has_unique"))
 
 
+def unique_watch(indexes: DataFrame, by_id: list[str], fail: bool = False) -> DataFrame:
+    """(ns) with a unique index among the namespaces that are routed by id, where such an index breaks the order.
+
+    With ``fail`` the first of them fails the job.
+    """
+    found = any_unique(indexes).filter(F.col("has_unique") & F.col("ns").isin(by_id)).select("ns")
+    return found.withColumn("ns", F.raise_error(F.concat(F.lit("unique index in "), F.col("ns"))).cast("string")) if fail else found
+
+
 def shared_unique(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of logs, (id, name, value) each, that hold the same value of the same unique index."""
     return a.alias("a").join(b.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "a.name", "a.value")

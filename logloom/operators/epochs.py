@@ -71,6 +71,22 @@ def consecutive_runs(logs: DataFrame, worker: list[str], order: list[str], keys:
     return out
 
 
+def last_of_batch(logs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last log of each worker's batch, which tells how far the worker is."""
+    rest = [c for c in logs.columns if c not in by]
+    return logs.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*by, "_r.*")
+
+
+def stable_by_ns(logs: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``logs`` with ``place`` in the batch: by namespace and then in order, or only in order where a command leads the batch.
+
+    Order across namespaces is given up there: replicas agree in the end.
+    """
+    leads = F.first("op").over(Window.partitionBy(*by).orderBy(*order)) == "c"
+    rows = logs.withColumn("_group", F.when(leads, F.lit("")).otherwise(F.col("ns")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_group", *order)).cast("long")).drop("_group")
+
+
 def grouped_by_size(logs: DataFrame, worker: str, order: list[str], size: str = "raw_size", max_count: int = MAX_COUNT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``logs`` with ``batch``: greedy groups of equal (ns, op) under a count and a byte cap.
 

@@ -712,6 +712,88 @@ def table_op_counter(spark, sf_dir):
     return metrics.table_ops(flat_log(spark, sf_dir))
 
 
+# --- batches, routing, guards, specifications
+
+
+BATCHES = f"""{LOG}, b AS (SELECT seq, seq // 100 AS batch, id % 4 AS worker, ns, ts_t, ts_i, CASE WHEN seq % 50 = 0 THEN 'c' ELSE op END AS op FROM log)"""
+
+
+def _batches(spark, sf_dir):
+    log = flat_log(spark, sf_dir)
+    return log.select("seq", F.floor(F.col("seq") / 100).alias("batch"), (F.col("id") % 4).alias("worker"), "ns", "ts_t", "ts_i", F.when(F.col("seq") % 50 == 0, "c").otherwise(F.col("op")).alias("op"))
+
+
+@query(f"WITH {BATCHES} SELECT worker, batch, seq FROM b QUALIFY row_number() OVER (PARTITION BY worker, batch ORDER BY ts_t DESC, ts_i DESC, seq DESC) = 1")
+def last_of_batch(spark, sf_dir):
+    return epochs.last_of_batch(_batches(spark, sf_dir), ["worker", "batch"], replay.ORDER).select("worker", "batch", "seq")
+
+
+@query(
+    f"""WITH {BATCHES}, f AS (SELECT *, first_value(op) OVER (PARTITION BY worker, batch {ORDER}) AS lead_op FROM b)
+SELECT seq, row_number() OVER (PARTITION BY worker, batch ORDER BY CASE WHEN lead_op = 'c' THEN '' ELSE ns END, ts_t, ts_i, seq) AS place FROM f"""
+)
+def batch_order_by_ns(spark, sf_dir):
+    return epochs.stable_by_ns(_batches(spark, sf_dir), ["worker", "batch"], replay.ORDER).select("seq", "place")
+
+
+@query(f"WITH {LOG} SELECT seq, row_number() OVER (ORDER BY seq) AS place FROM log")
+def merged_sources(spark, sf_dir):
+    log = flat_log(spark, sf_dir)
+    return compare.merged([log.filter(F.col("id") % 3 == k) for k in range(3)], "seq").select("seq", "place")
+
+
+@query(f"WITH {LOG} SELECT seq, CASE WHEN op = 'n' THEN 0 ELSE id % 8 END AS worker, id % 3 AS executor, (id % 8) % 5 AS replayer FROM log")
+def routing_by_id(spark, sf_dir):
+    op, ns, n = F.col("op"), F.col("ns"), F.col("id")
+    return flat_log(spark, sf_dir).select("seq", H.worker_auto(False, op, ns, n, 8).alias("worker"), H.sub_worker(n, 8, 3).alias("executor"), H.replayer(n % 8, 5).alias("replayer"))
+
+
+@query(f"WITH {LOG} SELECT seq, CASE WHEN op = 'c' THEN 0 ELSE {HASH.format('ns')} % 8 END AS worker FROM log")
+def routing_auto_unique(spark, sf_dir):
+    return flat_log(spark, sf_dir).select("seq", H.worker_auto(True, F.col("op"), F.col("ns"), F.col("id"), 8).alias("worker"))
+
+
+@query(f"WITH {LOG} SELECT seq FROM log WHERE ts_t > 1704500000 OR (ts_t = 1704500000 AND ts_i > 7)")
+def log_after_checkpoint(spark, sf_dir):
+    """Written as Parquet and read from a checkpoint on; no entry is from a migration, and no command from before the copy's end."""
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    json_log(spark, sf_dir).write.parquet(path)
+    rows = readers.read_log(spark, path, ckpt=(1704500000 << 32) + 7)
+    return filters.fail_on_early_ddl(filters.fail_on_migration(rows), 1 << 32).filter("op is not null").select(F.col("ts_i").cast("long").alias("seq"))
+
+
+@query("SELECT r_name AS replset, CASE WHEN r_regionkey % 2 = 1 THEN r_regionkey * 1000 ELSE 5 * 4294967296 END AS start_ts FROM region")
+def start_positions(spark, sf_dir):
+    nodes = table(spark, sf_dir, "region").select(F.col("r_name").alias("replset"), F.col("r_regionkey").cast("long").alias("k"))
+    found = nodes.filter(F.col("k") % 2 == 1).select(F.col("replset").alias("name"), (F.col("k") * 1000).alias("ckpt"))
+    return checkpoint.start_map(nodes, found, 5)
+
+
+@query("SELECT CASE n_regionkey WHEN 1 THEN 'new' || '.c' || n_nationkey ELSE 'db' || n_regionkey || '.c' || n_nationkey END AS ns, 'k' || n_nationkey AS key, n_nationkey % 3 = 0 AS is_unique FROM nation WHERE n_nationkey % 5 <> 0 AND n_regionkey <> 2")
+def shard_specs(spark, sf_dir):
+    k = F.col("n_nationkey")
+    specs = table(spark, sf_dir, "nation").select(F.concat(F.lit("db"), "n_regionkey", F.lit(".c"), k).alias("ns"), F.concat(F.lit("k"), k).alias("key"), (k % 3 == 0).alias("is_unique"), (k % 5 == 0).alias("dropped"))
+    return writers.shard_specs(specs, black=["db2"], rules=transforms.parse_rules(["db1:new"]))
+
+
+@query("SELECT 'db.c' || n_regionkey AS ns FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey HAVING bool_or(n_nationkey % 6 = 0)")
+def unique_watch(spark, sf_dir):
+    k = F.col("n_nationkey")
+    indexes = table(spark, sf_dir, "nation").select(F.concat(F.lit("db.c"), "n_regionkey").alias("ns"), F.lit("i").alias("name"), F.concat(F.lit('{"f'), k, F.lit('":1}')).alias("key"), (k % 6 == 0).alias("is_unique"))
+    return ddl.unique_watch(indexes, ["db.c0", "db.c1", "db.c2"])
+
+
+@query(f"WITH {LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY ns, id ORDER BY ts_t DESC, ts_i DESC, seq DESC) AS r FROM log WHERE op IN ('i', 'u', 'd')) SELECT ns, id, x FROM w WHERE r = 1 AND op <> 'd'")
+def direct_sink(spark, sf_dir):
+    """Two runs of the sink, the second one repeated."""
+    path = f"{shared_dir(spark).rstrip('/')}/direct-{uuid.uuid4().hex}"
+    log = flat_log(spark, sf_dir).filter("op in ('i', 'u', 'd')")
+    middle = log.approxQuantile("ts_t", [0.5], 0.0)[0]
+    for version, part in ((1, log.filter(F.col("ts_t") <= middle)), (2, log.filter(F.col("ts_t") > middle)), (2, log.filter(F.col("ts_t") > middle))):
+        writers.write(part, "direct", path, keys=["ns", "id"], values=["x"], version=version)
+    return apply.VersionedTable(spark, path).read().select("ns", "id", "x")
+
+
 # --- documents
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import documents as D
+from logloom.operators.filters import drop_ns
+from logloom.operators.transforms import rename
 from logloom.sources import tunnel_file
 
 SINKS = ("direct", "kafka", "file", "mock", "rpc", "tcp")
@@ -73,14 +75,21 @@ def message_batches(logs: DataFrame, by: str = "worker", value: str = "value", h
     return logs.select(F.col(by).cast("long").alias("shard"), F.col(value).cast("binary").alias("log")).mapInPandas(run, "shard long, n long, message binary")
 
 
+def apply_direct(logs: DataFrame, where: str, keys: list[str], values: list[str], version: int) -> None:
+    """Applies logs of whole documents to the versioned table in a folder: the last write of a key counts, deletes remove, repeated runs of a version change nothing."""
+    from logloom.streaming.apply import VersionedTable, apply_batch
+
+    apply_batch(VersionedTable(logs.sparkSession, where), keys, values)(logs, version)
+
+
 def write(logs: DataFrame, sink: str, where: str = "", mode: str = "append", **options) -> None:
-    """Writes logs to a sink by name. ``direct`` replaces a table atomically per folder; socket tunnels go by Kafka or files instead."""
+    """Writes logs to a sink by name. ``direct`` applies them (``keys``, ``values``, ``version``); socket tunnels go by Kafka or files instead."""
     if sink == "mock":
         logs.write.format("noop").mode("overwrite").save()
     elif sink == "file":
         logs.write.mode(mode).format(options.get("format", "parquet")).save(where)
     elif sink == "direct":
-        logs.write.mode(mode).parquet(where)
+        apply_direct(logs, where, options["keys"], options["values"], options["version"])
     elif sink == "kafka":
         kafka_rows(logs, options.get("partitions", 1), options.get("canonical", False)).write.format("kafka").option("kafka.bootstrap.servers", where).option("topic", options["topic"]).save()
     elif sink in SINKS:
@@ -95,6 +104,12 @@ def write_conflicts(conflicts: DataFrame, where: str, to: str = "db") -> None:
         conflicts.write.mode("append").partitionBy("ns").parquet(where)
 
 
+def shard_specs(specs: DataFrame, white: list[str] = (), black: list[str] = (), rules: list[tuple[str, str]] = ()) -> DataFrame:
+    """(ns, key, is_unique) of collections to shard on the target, from (ns, key, is_unique, dropped): neither dropped nor filtered, renamed."""
+    kept = specs.filter(~F.coalesce(F.col("dropped"), F.lit(False)) & ~drop_ns(F.col("ns"), list(white), list(black)))
+    return kept.select(rename(F.col("ns"), list(rules)).alias("ns"), "key", "is_unique")
+
+
 def prepare_target(exists: bool, drop: bool) -> str:
     """Write mode of a full copy: overwrite if existing collections are to be dropped, else append."""
     return "overwrite" if exists and drop else "append"

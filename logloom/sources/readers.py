@@ -33,6 +33,14 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet", after: str
     return rows if full_document else rows.withColumn("full_document", F.when(F.col("operation_type") != "update", F.col("full_document")))
 
 
+def stream_events(spark: SparkSession, path: str, fmt: str = "parquet", start: int | None = None, full_document: bool = False, files_per_trigger: int = 64) -> DataFrame:
+    """Change events from a growing folder. The query's checkpoint keeps the place, so a restart goes on behind the last event taken."""
+    rows = spark.readStream.format(fmt).schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    if start is not None:
+        rows = rows.filter(~drop_before(F.col("cluster_t"), F.col("cluster_i"), start - 1))
+    return rows if full_document else rows.withColumn("full_document", F.when(F.col("operation_type") != "update", F.col("full_document")))
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True) -> DataFrame:
     """Messages of a topic from its earliest offset; needs Spark's Kafka package."""
     reader = spark.readStream if stream else spark.read
