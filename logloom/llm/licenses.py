@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import text_slices
+
 WIDTH = 5
 CONTAINMENT = 0.8
 BANDS = 96
@@ -189,7 +191,7 @@ class Scanner:
         overlap = max(self.groups, default=0)
         for start in range(0, total, SLICE):
             part = hashes[start : start + SLICE + overlap]
-            for index, at, size in set(self._candidates(part)):
+            for index, at, size in sorted(set(self._candidates(part))):  # of equal windows the first counts
                 at += start
                 here = set(shingles(words[at : at + size + WIDTH - 1]))
                 share = len(self.sets[index] & here) / len(self.sets[index])
@@ -213,7 +215,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     scanner = Scanner(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             row, name, share, at = [], [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 for index, (best, word) in sorted(scanner.scan(text).items()):
