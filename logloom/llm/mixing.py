@@ -32,9 +32,9 @@ def default_quality(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.1), share)).otherwise(F.lit(0.1))
 
 
-def _uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the id; null as an id of its own."""
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the id, or from the text where there is no id."""
+    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -58,7 +58,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, weight: Column) -> DataFrame:
     """(doc_id, source, size, key, tie) of every row."""
-    key = -F.log(_uniform(F.col("doc_id"))) / weight
+    key = -F.log(_uniform(F.col("doc_id"), F.col("text"))) / weight
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
 
 
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     cuts, n = cutoffs(settle(_keyed(docs, weight)))
     names = docs.columns
     key, tie, many, src = (free_name(names, x) for x in ("key", "tie", "copies", "source_of"))
-    rows = docs.select(*docs.columns, (-F.log(_uniform(F.col("doc_id"))) / weight).alias(key), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias(tie))
+    rows = docs.select(*docs.columns, (-F.log(_uniform(F.col("doc_id"), F.col("text"))) / weight).alias(key), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias(tie))
     cuts = cuts.select(F.col("source").alias(src), F.struct("epochs", "last_slice", "last_key", "last_tie").alias(many))
     joined = rows.join(if_small(cuts, n), rows["source"].eqNullSafe(cuts[src]))
     repeated = joined.withColumn(many, _copies(key, tie, f"{many}.")).filter(F.col(many) > 0)
