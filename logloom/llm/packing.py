@@ -99,7 +99,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     trimmed, lower-cased texts are equal are a cluster. ``size_col`` names the
     size; by default the text's words.
 
-    Null and empty texts are pieces of 0 words. Null is a source. Repeated rows
+    Null and empty texts are pieces of 0 words. Null is a source; sources of
+    another type are taken and returned as text. Repeated rows
     are packed each, in different bins. Ties go by ``doc_id``, nulls last, then by
     text. An empty table gives an empty table. Other columns are not read.
     ``bin_id`` is unique over all shards.
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     size = word_count(F.col("text")) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     digest = F.xxhash64(F.lower(F.trim(F.coalesce(F.col("text"), F.lit("")))))
     cluster = digest if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col))
-    rows = settle(docs.select("doc_id", "source", size.alias("size"), cluster.alias("cluster"), F.xxhash64("doc_id", "text").alias("spread")))
+    rows = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"), F.xxhash64("doc_id", "text").alias("spread")))
     n_shards = max(1, math.ceil(rows.count() / shard_rows))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -136,6 +136,9 @@ def test_pack_whole_table(docs, empty):
         named = [text[r.doc_id].strip().lower() for r in partial if r.doc_id is not None and text[r.doc_id]]
         assert len(named) == len(set(named))
     assert packing.pack(empty).count() == 0
+    numbers = docs.sparkSession.createDataFrame([(k, "one two", 7 + k % 2) for k in range(8)], "doc_id long, text string, source int")
+    found = packing.pack(numbers, capacity=20, per_source=1, cluster_col="doc_id").collect()
+    assert collections.Counter(r.source for r in found) == {"7": 4, "8": 4} and len({r.bin_id for r in found}) == 4
 
 
 # --- 2 language model
@@ -355,6 +358,12 @@ def test_quality_weights_count(spark):
     assert n[0, True] > 1.5 * n[1, True]
 
 
+def test_rows_without_id_draw_their_own_numbers(spark):
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text of row "), "id").alias("text"), F.when(F.col("id") < 100, "a").otherwise("b").alias("source"))
+    taken = collections.Counter(r.taken for r in mixing.mix_plan(rows).filter("source_size = 1200").collect())
+    assert len(taken) == 2 and min(taken.values()) > 20
+
+
 # --- 4 spans
 
 
