@@ -2,8 +2,11 @@
 
 import collections
 import itertools
+import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from logloom.llm import lm_score, near
@@ -92,3 +95,77 @@ def test_last_words_of_29_to_33_bytes_are_counted(spark, tail):
 
 def test_counter_tables_and_rounds_are_whole():
     assert lm_score.TABLE_BITS == (14, 18, 21, 22, 22, 22) and lm_score.ROUNDS == 2
+
+
+def stream_slots(text, states, code):
+    """(place, node, bit, slots) of every bit of a text, one at a time; contexts go on from word to word."""
+    whole_number = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & whole_number
+        return ((x ^ (x >> 32)) * 0xBF58476D1CE4E5B9) & whole_number
+
+    recent, before = 1, 0
+    for state, unit in [(s, u) for s, part in states.split(lm_score.units_of(text)) for u in part]:
+        whole = 0xCBF29CE484222325
+        for place, byte in enumerate(unit):
+            last4 = recent & 0xFFFFFFFF
+            keys = [state * 4 + min(place, 3), recent & 0xFF, recent & 0xFFFF | state << 40, last4, whole, whole ^ ((state + 1) * 0x2545F4914F6CDD1D & whole_number), whole ^ before]
+            keys = [mixed((x + (i + 1) * 0x9E3779B97F4A7C15) & whole_number) for i, x in enumerate(keys)]
+            for depth in range(code.length[byte]):
+                node = int(code.node[depth][byte])
+                spread = node * 0x9FB21C651E98DF25 & whole_number
+                bits = (*lm_score.TABLE_BITS, lm_score.PAIR_BITS)
+                yield place, node, int(code.bit[depth][byte]), [int(o) + (((k + spread) & whole_number) >> (64 - b)) for k, b, o in zip(keys, bits, lm_score.OFFSETS)]
+            recent, whole = recent << 8 | byte, ((whole ^ byte) * 0x100000001B3) & whole_number
+        before = mixed(whole)
+
+
+def stream_score(model, text, states):
+    found = 0.0
+    for place, node, bit, slots in stream_slots(text, states, model.code):
+        cells = [int(model.cells[s]) for s in slots]
+        known = [min(3, (int(lm_score._SURENESS[c]) % 8 + 1) // 2) for c in cells]
+        gate = (known[6] * 4 + known[4]) * 16
+        total = sum(float(model.weights[min(place, 7), i, gate + lm_score._SURENESS[c]]) * float(lm_score._STRETCH[c]) for i, c in enumerate(cells))
+        total = min(11.5, max(-11.5, total))
+        total = (int((total + 12) * 32) + 0.5) / 32 - 12
+        p, at = 1 / (1 + math.exp(-total)), node * 24 + int(total + 12)
+        p = min(1 - 1e-6, max(1e-6, (p + (model.map_hits[at] + 8 * p) / (model.map_all[at] + 8)) / 2))
+        found += math.log10(p if bit else 1 - p)
+    return found
+
+
+def test_texts_are_coded_with_contexts_across_words(spark, monkeypatch):
+    """Counters from plain counting over whole texts, and every score bit by bit."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["blue", "stone", "river", "walks", "a", "I", "under\n"]) + str(r.randrange(30)) for _ in range(r.randrange(1, 60))) for _ in range(60)]
+    texts += ["", "x" * 100 + " y", "nul\0byte nul\0", "\n\n a", "Ä" * 40, texts[0]]
+    seen = {}
+    for name in ("train_model", "states_and_code"):
+        monkeypatch.setattr(lm_score, name, lambda *a, name=name, inner=getattr(lm_score, name): seen.setdefault(name, inner(*a)))
+    out = lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    model, (states, code) = seen["train_model"], seen["states_and_code"]
+    slots = collections.Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            slots.update((s, bit) for _, _, bit, where in stream_slots(t.encode(), states, code) for s in where)
+    used = sorted({s for s, _ in slots})
+    assert (np.flatnonzero(model.cells) == used).all()
+    assert (model.cells[used] == lm_score.cells_of(np.array([slots[s, 0] for s in used]), np.array([slots[s, 1] for s in used]))).all()
+    assert len(out) == len(texts)
+    for row in out:
+        assert row.score == pytest.approx(stream_score(model, texts[row.doc_id].encode(), states), rel=0.002, abs=0.01)
+
+
+def test_the_order_of_words_counts(spark):
+    """Words that follow each other in training are likelier in that order than in another."""
+    r = random.Random(3)
+    held = [k for k in range(10_000, 10_200) if zlib.crc32(str(k).encode()) % 5 == 1]
+    pairs = [(f"{a}{k}", f"{b}{k * 7 % 20}") for k in range(20) for a, b in (("left", "hand"), ("deep", "well"))]
+    rows = [(k, " ".join(w for _ in range(12) for w in r.choice(pairs))) for k in range(400)]
+    right = [" ".join(pairs[k % len(pairs)]) for k in range(20)]
+    wrong = [" ".join((pairs[k % len(pairs)][0], pairs[(k + 2) % len(pairs)][1])) for k in range(20)]
+    rows += list(zip(held, [*right, *wrong]))
+    found = {x.doc_id: x.score for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 10000").collect()}
+    assert np.mean([found[k] for k in held[:20]]) > np.mean([found[k] for k in held[20:40]]) + 1
