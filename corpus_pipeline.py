@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each near-duplicate group: SimHash, and MinHash for pairs beyond its radius; then 5-word shingles decide, Jaccard similarity 0.8 or more."""
     return near.drop_near(docs)
 
 

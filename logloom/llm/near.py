@@ -1,9 +1,11 @@
-"""Near-dedup by Jaccard similarity of word shingles: MinHash bands, then an exact check.
+"""Near-dedup by Jaccard similarity of word shingles: SimHash and MinHash bands, then an exact check.
 
-Texts of equal shingle sets are one node. BANDS bands of ROWS minima bring two
+Texts of equal shingle sets are one node. The covering search of ``simhash`` finds
+every pair of nodes whose SimHashes differ by 2 bits or fewer. Similar sets may
+differ by more (at similarity 0.8 by about 10 bits); for these, BANDS bands of ROWS minima bring two
 nodes of similarity s into one bucket but for a chance of (1 - s**ROWS) ** BANDS.
 A few bytes of the minima tell likely pairs of a bucket apart from the others;
-the buckets' likely links join nodes to clusters, outside of which no pair needs
+the close and the likely links join nodes to clusters, outside of which no pair needs
 a look. Inside a cluster the shingle sets decide, in blocks of bounded size. Only
 links that join two components are written, so rows stay linear in a group's
 size, and nodes that are linked already are not compared again.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import if_small, settle, signed, store, text_slices
 from logloom.llm.components import components
-from logloom.llm.simhash import keep_first
+from logloom.llm.simhash import keep_first, links, majority
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -69,6 +71,10 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), seed=42)
 
 
+#: The node of texts without words, which is similar to no other.
+NO_WORDS = signed(node_of(np.array([], np.uint64)))
+
+
 def key_of(text: bytes | None) -> int:
     """The node of a text."""
     return node_of(shingle_set(text))
@@ -87,14 +93,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mins = [minima(x) for x in sets]
         buckets = [_mixed((x.reshape(BANDS, ROWS) * _OF_ROW).sum(axis=1, dtype=np.uint64) + _OF_BAND).view(np.int64) for x in mins]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([signed(node_of(x)) for x in sets], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array([_mixed(x[:SKETCH]).astype(np.uint8).tobytes() for x in mins], pa.binary())],
-            names=["doc_id", "fp", "buckets", "sketch"],
+            [batch.column(0), pa.array([signed(node_of(x)) for x in sets], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array([_mixed(x[:SKETCH]).astype(np.uint8).tobytes() for x in mins], pa.binary()), pa.array([signed(majority(x)) for x in sets], pa.int64())],
+            names=["doc_id", "fp", "buckets", "sketch", "simhash"],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, buckets, sketch) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, fp long, buckets array<long>, sketch binary")
+    """(doc_id, fp, buckets, sketch, simhash) of every row."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, fp long, buckets array<long>, sketch binary, simhash long")
 
 
 # --- clusters
@@ -124,15 +130,30 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def clusters(nodes: DataFrame) -> DataFrame:
-    """(fp, cluster) of the nodes (fp, buckets, sketch) that some node is likely to be similar to."""
+def close_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes (fp, simhash) with SimHashes within ``simhash.RADIUS`` bits."""
+    named = nodes.filter(F.col("fp") != NO_WORDS).select("fp", "simhash")
+    first = settle(named.groupBy("simhash").agg(F.min("fp").alias("lo")))
+    equal = named.join(first, "simhash").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    of = lambda side: first.select(F.col("simhash").alias(side), F.col("lo").alias(f"{side}_node"))
+    apart = links(first.select(F.col("simhash").alias("fp"))).join(of("a"), "a").join(of("b"), "b")
+    return equal.unionAll(apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
+def likely_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes (fp, buckets, sketch) whose minima are much alike."""
     rows = nodes.select("fp", F.explode(F.array_distinct("buckets")).alias("bucket"))
     crowded = settle(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo")).filter("n > 1"))
     at = rows.join(crowded, "bucket")
     small = at.filter(F.col("n") <= BUCKET).select("fp", "bucket").join(nodes.select("fp", "sketch"), "fp")
     members = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "sketch"))).alias("members")).select("members").distinct()
     large = at.filter((F.col("n") > BUCKET) & (F.col("fp") != F.col("lo"))).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
-    return components(members.mapInArrow(_likely, "a long, b long").unionAll(large)).withColumnsRenamed({"node": "fp", "root": "cluster"})
+    return members.mapInArrow(_likely, "a long, b long").unionAll(large)
+
+
+def clusters(nodes: DataFrame) -> DataFrame:
+    """(fp, cluster) of the nodes (fp, buckets, sketch, simhash) that some node is close to or likely to be similar to."""
+    return components(close_links(nodes).unionAll(likely_links(nodes))).withColumnsRenamed({"node": "fp", "root": "cluster"})
 
 
 # --- exact links
@@ -246,7 +267,7 @@ def shingles_of(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFra
 def near_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, root) of every row; root names the component by one of its nodes."""
     sketched = store(sketches(docs), "sketches")
-    nodes = settle(sketched.groupBy("fp").agg(F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")))
+    nodes = settle(sketched.groupBy("fp").agg(F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"), F.first("simhash").alias("simhash"), F.min("doc_id").alias("rep")))
     at = settle(clusters(nodes))
     roots = settle(components(similar(at, shingles_of(docs, nodes.select("fp", "rep"), at.select("fp"))))).withColumnRenamed("node", "fp")
     return sketched.select("doc_id", "fp").join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))

@@ -37,11 +37,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), ">u8", n)
-    counts = np.zeros(64, np.int64)
-    for start in range(0, n, 4096):
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), ">u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes; 0 without any."""
+    hashes, counts = hashes.astype(">u8", copy=False), np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[start : start + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -81,6 +81,38 @@ def test_near_stage_finds_every_similar_pair(spark):
     assert near.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_stage_searches_by_simhash(spark, monkeypatch):
+    """Without the MinHash links, every similar pair within two bits of SimHash is found, and only similar ones join."""
+    r = random.Random(6)
+    texts = ["", "one two", "solo"]
+    for n in (300, 900, 2500):
+        for _ in range(4):
+            base = [f"w{r.randrange(9000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, n // 8):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[r.randrange(n)] = f"n{r.randrange(9000)}"
+                texts.append(" ".join(copy))
+    sets = [near.shingle_set(t.encode()) for t in texts]
+    prints = [sum((2 * sum(int(h) >> b & 1 for h in x) > len(x)) << b for b in range(64)) for x in sets]
+    root = list(range(len(texts)))
+    apart = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2 and similar(shingles(texts[a]), shingles(texts[b])):
+            apart += prints[a] != prints[b]
+            x, y = sorted((root[a], root[b]))
+            root = [x if k == y else k for k in root]
+    assert apart > 5 and 10 < len(set(root)) < len(texts)
+    monkeypatch.setattr(near, "likely_links", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    found = near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    # a component may join more: pairs of a cluster that are similar beyond two bits are links too
+    of = {x.doc_id: x.component_id for x in found}
+    assert all(of[k] == of[root[k]] for k in of) and len(set(of.values())) > 10
+    for k, group in of.items():
+        assert k == group or any(similar(shingles(texts[k]), shingles(texts[j])) for j in of if j != k and of[j] == group)
+
+
 # --- 2 language model
 
 
