@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import pickle
 import random
 import zlib
 
@@ -129,6 +130,28 @@ def test_counter_tables_and_rounds_are_whole():
     assert lm_score.TABLE_BITS == (14, 18, 21, 22, 22, 22) and lm_score.ROUNDS == 2
 
 
+def test_a_model_is_sent_once_and_small():
+    """Every executor and the driver keep a broadcast on disk: cells go once, and empty slots take next to nothing."""
+    code, rng = lm_score.huffman(np.arange(256)), np.random.default_rng(4)
+    for cells in (rng.integers(0, lm_score._CELLS, int(lm_score.OFFSETS[-1]), dtype=np.uint16), np.zeros(int(lm_score.OFFSETS[-1]), np.uint16)):
+        model = lm_score.Model(cells, code)
+        model.weights, model.map_hits, model.map_all = rng.random(model.weights.shape, np.float32), rng.random(256 * 24), rng.random(256 * 24)
+        sent = pickle.dumps(model)
+        assert len(sent) < (1.01 * cells.nbytes if cells.any() else 0) + 500_000
+        again = pickle.loads(sent)
+        assert all((x == y).all() for x, y in zip(again.tables, model.tables, strict=True)) and (again.code.node == code.node).all()
+        assert all((getattr(again, k) == getattr(model, k)).all() for k in ("cells", "weights", "map_hits", "map_all"))
+
+
+def test_counts_are_shuffled_small():
+    """Blocks of counters with a few counts take a few bytes, whatever their counts."""
+    for most in (3, 300, 70_000):
+        counts = np.zeros(lm_score.BLOCK, np.float32)
+        counts[::4096] = most
+        blob = lm_score._narrow(counts)
+        assert len(blob) < 1000 and (lm_score._wide(blob, lm_score.BLOCK) == counts).all()
+
+
 def stream_slots(text, states, code):
     """(place, node, bit, slots) of every bit of a text, one at a time; contexts go on from word to word."""
     whole_number = (1 << 64) - 1
