@@ -66,10 +66,11 @@ def _choose(value: Column, table: dict, other: str | None) -> Column:
     return out
 
 
-def size_text(n: Column) -> Column:
-    """Bytes with two decimals in the largest unit that they exceed."""
+def size_text(n: Column, largest: str = "PB") -> Column:
+    """Bytes with two decimals in the largest unit that they exceed, none above ``largest``."""
     out, value = F.format_string("%.2fB", n.cast("double")), n.cast("double")
-    for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+    units = ("KB", "MB", "GB", "TB", "PB")
+    for power, unit in enumerate(units[: units.index(largest) + 1], 1):
         out = F.when(value > F.lit(float(1024**power)), F.format_string(f"%.2f{unit}", value / F.lit(float(1024**power)))).otherwise(out)
     return out
 
