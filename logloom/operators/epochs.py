@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 MAX_COUNT, MAX_BYTES = 1000, 12 << 20
-#: Barriers that are broadcast; with more of them epochs come from range-wise counts.
+#: Barriers that every task holds; with more of them epochs come from range-wise counts.
 MAX_BARRIERS = 100_000
+#: Rows of a range, and places from which the ranges' cuts are taken.
+RANGE_ROWS, CUTS_FROM = 250_000, 8192
+
+
+def with_n_below(frame: DataFrame, name: str, table: Column, value: Column, most: int) -> DataFrame:
+    """``frame`` with ``name``: how many elements of ``table``, a sorted array of ``most`` at most, are below ``value``.
+
+    A binary search, a projection for each step; ``table`` may be a scalar subquery, which no higher-order function takes.
+    """
+    out, at = frame.withColumn(name, F.lit(0)), F.col(name)
+    for step in (1 << k for k in reversed(range(max(1, most).bit_length()))):
+        out = out.withColumn(name, F.when(F.get(table, at + (step - 1)) < value, at + step).otherwise(at))
+    return out
 
 
 def barrier_epochs(logs: DataFrame, order: list[str], barrier: str = "is_barrier", max_barriers: int = MAX_BARRIERS) -> DataFrame:
@@ -20,7 +33,8 @@ def barrier_epochs(logs: DataFrame, order: list[str], barrier: str = "is_barrier
     ``order`` names columns that order all rows. Rows that share the place of a
     barrier (a transaction's operations, all but the last of ``order`` equal)
     share its epoch. Only barriers are ordered globally; they are few, as each
-    stops the flow. Their places are broadcast as a sorted array in which every
+    stops the flow. Their places are one sorted array, a scalar that every task
+    holds once (as a joined column each row would copy it whole), in which every
     row finds its epoch by binary search; no window over all rows is needed. Beyond
     ``max_barriers`` places the same epochs come from counts by range. A null flag
     is no barrier.
@@ -30,28 +44,34 @@ def barrier_epochs(logs: DataFrame, order: list[str], barrier: str = "is_barrier
     n = places.limit(max_barriers + 1).count()
     if n > max_barriers:
         return _epochs_by_range(logs, order, barrier)
-    table = F.broadcast(places.agg(F.array_sort(F.collect_set("p")).alias("_places")))  # max_barriers at most
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n).bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_places", at + s - 1) < place, at + s).otherwise(at))
-    return logs.crossJoin(table).withColumn("epoch", (2 * below + F.coalesce((F.get("_places", below) == place).cast("int"), F.lit(0))).cast("long")).drop("_places")
+    table = places.agg(F.array_sort(F.collect_set("p"))).scalar()  # max_barriers at most
+    rows = with_n_below(logs, "_below", table, place, n)
+    return rows.withColumn("epoch", (2 * F.col("_below") + F.coalesce((F.get(table, F.col("_below")) == place).cast("int"), F.lit(0))).cast("long")).drop("_below")
 
 
 def _epochs_by_range(logs: DataFrame, order: list[str], barrier: str) -> DataFrame:
-    """Epochs for any number of barriers: counts by range of ``order``, then within each range."""
-    spark = logs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = logs.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)] or [0.5])).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0])))
-    rows = logs.withColumn("_part", part)
+    """Epochs for any number of barriers: counts by range of places, then one window along each range.
+
+    Ranges are cut by the whole place, so that many rows may share its first
+    part. Cuts come from about ``CUTS_FROM`` of the places, chosen by hash; they
+    decide on the sizes of the ranges only.
+    """
     place = F.struct(*order)
+    n, n_places = logs.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*order))).first()
+    parts = max(2, int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    some = logs.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, n_places // CUTS_FROM))) == 0)
+    chosen = some.agg(F.array_sort(F.collect_set(place)).alias("s"))
+    cuts = chosen.select(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.get("s", F.floor(k * F.size("s") / parts).cast("int"))))
+    rows = with_n_below(logs, "_part", cuts.scalar(), place, parts)
     counts = rows.filter(barrier).groupBy("_part").agg(F.count_distinct(place).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(F.broadcast(counts.select("_part", before.alias("_before"), "n")), "_part", "left")
-    tied = Window.partitionBy("_part", *order)
-    rows = rows.withColumn("_at", F.max(F.coalesce(F.col(barrier), F.lit(False))).over(tied))
-    rows = rows.withColumn("_first", F.col("_at") & (F.row_number().over(tied.orderBy(F.col("_at"))) == 1))  # one row for each barrier's place
-    upto = F.sum(F.col("_first").cast("long")).over(Window.partitionBy("_part").orderBy(*order))  # rows of one place are peers
-    return rows.withColumn("epoch", 2 * (F.coalesce("_before", F.lit(0)) + upto) - F.col("_at").cast("long")).drop("_part", "_before", "n", "_first", "_at")
+    # every range, as one without barriers still has those before it
+    every = logs.sparkSession.range(parts + 1).select(F.col("id").cast("int").alias("_part")).join(counts, "_part", "left")
+    rows = rows.join(F.broadcast(every.select("_part", before.alias("_before"))), "_part")
+    along = Window.partitionBy("_part").orderBy(*order)
+    rows = rows.withColumns({"_at": F.max(F.coalesce(F.col(barrier), F.lit(False))).over(along.rangeBetween(Window.currentRow, Window.currentRow)), "_head": F.row_number().over(along) == F.rank().over(along)})
+    upto = F.sum((F.col("_at") & F.col("_head")).cast("long")).over(along)  # one row counts for each barrier's place; rows of one place are peers
+    return rows.withColumn("epoch", 2 * (F.col("_before") + upto) - F.col("_at").cast("long")).drop("_part", "_before", "_at", "_head")
 
 
 def consecutive_runs(logs: DataFrame, worker: list[str], order: list[str], keys: list[str] = ("ns", "op"), max_count: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.operators import epochs
 from logloom.queries import QUERIES, SQL
 
 
@@ -29,3 +30,22 @@ def agrees(spark, where, name):
 
 def test_sizes_above_a_terabyte(spark, tmp_path):
     agrees(spark, events(spark, tmp_path, spark.range(131_000, 132_000)), "size_and_version")
+
+
+def copies_no_table(frame):
+    return "NestedLoop" not in frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_do_not_carry_the_barriers(spark, tmp_path):
+    where = events(spark, tmp_path, spark.range(2000))
+    assert copies_no_table(QUERIES["barrier_epochs"](spark, where))
+    agrees(spark, where, "barrier_epochs")
+
+
+def test_ranges_cut_within_equal_first_places(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("t"), (F.col("id") % 1000).alias("a"), F.when(F.col("id") % 7 == 3, True).alias("is_barrier"))
+    by_range = epochs._epochs_by_range(rows, ["t", "a"], "is_barrier")
+    near = epochs.barrier_epochs(rows, ["t", "a"])
+    key = lambda f: sorted(map(tuple, f.select("a", "is_barrier", "epoch").fillna(False).collect()))
+    assert key(by_range) == key(near)
+    assert by_range.groupBy(F.spark_partition_id()).count().count() > 1
