@@ -49,3 +49,9 @@ def test_ranges_cut_within_equal_first_places(spark):
     key = lambda f: sorted(map(tuple, f.select("a", "is_barrier", "epoch").fillna(False).collect()))
     assert key(by_range) == key(near)
     assert by_range.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_tied_rows_do_not_carry_the_barriers(spark, tmp_path):
+    where = events(spark, tmp_path, spark.range(2000))
+    assert copies_no_table(QUERIES["barrier_epochs_ties"](spark, where))
+    agrees(spark, where, "barrier_epochs_ties")
