@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.epochs import RANGE_ROWS, with_n_below
+from logloom.storage import settle
+
 
 def count_by_ns_op(logs: DataFrame) -> DataFrame:
     return logs.groupBy("ns", "op").agg(F.count(F.lit(1)).alias("n"))
@@ -47,11 +50,14 @@ def per_second(logs: DataFrame, second: str = "ts_t", every: int = 1) -> DataFra
 def running(frame: DataFrame, order: str, kind: str, column: str, name: str, parts: int = 64) -> DataFrame:
     """A running sum, max or min over a whole-numbered order, by ranges: each range's total first, then rows within ranges.
 
-    Only ``parts`` totals meet in one task.
+    Only the ranges' totals meet in one task. Three steps read the rows, so they are
+    settled first; there are at least ``parts`` ranges, and more for more rows.
     """
+    frame = settle(frame)
+    parts = max(parts, -(-frame.count() // RANGE_ROWS))
     cuts = frame.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)])).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c <= F.col(order)))
-    rows = frame.withColumn("_part", part)
+    table = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
+    rows = with_n_below(frame, "_part", table, F.col(order), parts)
     whole = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     totals_ = rows.groupBy("_part").agg(whole(column).alias("_t")).withColumn("_before", whole("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_before")
     joined = rows.join(F.broadcast(totals_), "_part")  # one row a range

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.documents import first_field, has_field
+from logloom.functions.documents import first_field
 from logloom.functions.values import ts_pack
 
 #: A transaction's "no earlier entry" marker, BSON of {ts: Timestamp(0, 0), t: -1} (fixed value).
@@ -20,10 +20,11 @@ def classify(logs: DataFrame) -> DataFrame:
     that holds applyOps, commitTransaction or abortTransaction; flags go by the
     presence of fields, not by their value.
     """
-    has = lambda k: has_field(F.col("o"), k)
+    out = logs.withColumn("_keys", F.json_object_keys("o"))  # each document is read once
+    has = lambda k: F.coalesce(F.array_contains("_keys", k), F.lit(False))
     keyed = (F.col("op") == "c") & F.col("lsid").isNotNull() & F.col("txn_number").isNotNull()
     txn = keyed & (has("applyOps") | has("commitTransaction") | has("abortTransaction"))
-    out = logs.withColumn("is_txn", F.coalesce(txn, F.lit(False)))
+    out = out.withColumn("is_txn", F.coalesce(txn, F.lit(False)))
     flags = {"partial": "partialTxn", "prepare": "prepare", "commit": "commitTransaction", "abort": "abortTransaction"}
     out = out.withColumns({k: F.col("is_txn") & has(v) for k, v in flags.items()})
     is_commit = F.col("commit") | (F.col("is_txn") & ~F.col("prepare") & ~F.col("partial"))
@@ -35,7 +36,7 @@ def classify(logs: DataFrame) -> DataFrame:
             "is_final": is_commit | F.col("abort"),
             "is_multi": F.col("partial") | F.col("prepare") | (F.col("is_txn") & ~first),
         }
-    )
+    ).drop("_keys")
 
 
 def explode_ops(logs: DataFrame, keep_children_ts: bool = False) -> DataFrame:

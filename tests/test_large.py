@@ -55,3 +55,16 @@ def test_tied_rows_do_not_carry_the_barriers(spark, tmp_path):
     where = events(spark, tmp_path, spark.range(2000))
     assert copies_no_table(QUERIES["barrier_epochs_ties"](spark, where))
     agrees(spark, where, "barrier_epochs_ties")
+
+
+def test_running_reads_its_rows_once(spark, tmp_path):
+    where = events(spark, tmp_path, spark.range(2000))
+    frame = QUERIES["txn_release_order"](spark, where)
+    assert "json_object_keys" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    agrees(spark, where, "txn_release_order")
+
+
+def test_classify_reads_a_document_once(spark, tmp_path):
+    where = events(spark, tmp_path, spark.range(20))
+    plan = QUERIES["txn_classify"](spark, where)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_object_keys") == 1
