@@ -64,43 +64,50 @@ def apply_stream(logs: DataFrame, table: VersionedTable, keys: list[str], values
 
 
 RELEASED = "txn_number long, pos int, op string, ns string, o string, ts_t long, ts_i long, release_t long, release_i long"
-_STATE = "ops array<struct<seq:long,pos:int,op:string,ns:string,o:string,ts_t:long,ts_i:long>>"
+#: Groups of transactions that share a state; a state costs much more to call and store than a transaction.
+BUCKETS = 4096
 
 
 def release_stream(logs: DataFrame) -> DataFrame:
     """Operations of transactions as they commit, from a stream of envelope rows.
 
-    A transaction's inner operations wait in state under (lsid, txn_number); a
-    commit emits them in order and an abort drops them. There is no time-out: an
-    open transaction stays until it ends. Each key's state is one transaction, so
-    it is as large as that transaction.
+    A transaction's inner operations wait in state until it ends; a commit emits
+    them in order and an abort drops them. There is no time-out: an open
+    transaction stays until it ends. Transactions are dealt to ``BUCKETS`` states
+    by the hash of (lsid, txn_number); a state holds its open ones only, and is
+    written again by every micro-batch that brings it rows.
     """
     wanted = txn.classify(logs).filter("is_txn")
     inner = F.from_json(F.get_json_object("o", "$.applyOps"), txn.INNER)
-    rows = wanted.select(F.coalesce("lsid", F.lit("").cast("binary")).alias("lsid"), "txn_number", "seq", "ts_t", "ts_i", "is_data", "is_final", "abort", F.to_json(inner).alias("inner"))
+    bucket = F.pmod(F.xxhash64("lsid", "txn_number"), F.lit(BUCKETS))
+    rows = wanted.select(bucket.alias("bucket"), F.hex("lsid").alias("lsid"), "txn_number", "seq", "ts_t", "ts_i", "is_data", "is_final", "abort", F.to_json(inner).alias("inner"))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
-        held = [tuple(x) for x in state.get[0]] if state.exists else []
-        rows_ = pd.concat(list(frames)).sort_values(["ts_t", "ts_i", "seq"])
-        done = None
-        for r in rows_.itertuples(index=False):
-            if r.is_data and isinstance(r.inner, str):
-                held += [(int(r.seq), k, x.get("op"), x.get("ns"), x.get("o"), int(r.ts_t), int(r.ts_i)) for k, x in enumerate(json.loads(r.inner))]
-            if r.is_final:
-                done = r
-                break
-        if done is None:
-            state.update((held,))
-            return
-        if state.exists:
+        held = {(session, number): ops for session, number, ops in json.loads(state.get[0])} if state.exists else {}
+        columns = ("ts_t", "ts_i", "seq", "lsid", "txn_number", "is_data", "is_final", "abort", "inner")
+        rows_ = [row for frame in frames for row in zip(*[frame[c].tolist() for c in columns])]
+        ended, out = set(), []
+        for t, i, seq, session, number, is_data, is_final, abort, text in sorted(rows_, key=lambda r: r[:3]):
+            own = (session, number)
+            if own in ended:  # what follows an end in the same batch is dropped
+                continue
+            if is_data and isinstance(text, str):
+                held.setdefault(own, []).extend((seq, k, x.get("op"), x.get("ns"), x.get("o"), t, i) for k, x in enumerate(json.loads(text)))
+            if is_final:
+                ended.add(own)
+                ops = held.pop(own, [])
+                if not abort:
+                    out += [(number, n, *x[2:], t, i) for n, x in enumerate(sorted(ops, key=lambda x: (x[0], x[1])))]
+        if held:
+            state.update((json.dumps([(*own, ops) for own, ops in held.items()]),))
+        elif state.exists:
             state.remove()
-        if not done.abort:
-            out = [(key[1], n, op, ns, o, t, i, int(done.ts_t), int(done.ts_i)) for n, (_, _, op, ns, o, t, i) in enumerate(sorted(held, key=lambda x: (x[0], x[1])))]
+        if out:
             yield pd.DataFrame(out, columns=["txn_number", "pos", "op", "ns", "o", "ts_t", "ts_i", "release_t", "release_i"])
 
-    return rows.groupBy("lsid", "txn_number").applyInPandasWithState(run, RELEASED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("bucket").applyInPandasWithState(run, RELEASED, "open string", "append", GroupStateTimeout.NoTimeout)
 
 
 def save_progress(table: CheckpointTable, name: str) -> Callable[[DataFrame, int], None]:
