@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logloom.functions import documents as D
 from logloom.operators.filters import drop_ns
@@ -15,6 +16,8 @@ from logloom.sources import tunnel_file
 
 SINKS = ("direct", "kafka", "file", "mock", "rpc", "tcp")
 MAX_MESSAGE = 18 << 20
+#: Bytes of messages that are unpacked at once; a larger message goes alone.
+SLICE_BYTES = 256 << 10
 
 
 def json_text(logs: DataFrame, canonical: bool = False) -> DataFrame:
@@ -116,7 +119,11 @@ def prepare_target(exists: bool, drop: bool) -> str:
 
 
 def valid_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shard, pos, log, ack-able) rows of whole messages, and the messages whose checksum fails."""
+    """(shard, pos, log, ack-able) rows of whole messages, and the messages whose checksum fails.
+
+    Messages are unpacked in slices of bounded bytes, as a batch may hold thousands of them.
+    """
+    most = SLICE_BYTES
 
     def check(data: bytes) -> str:
         found, tag, shard, how, logs = tunnel_file.decode_message(data)
@@ -124,6 +131,20 @@ def valid_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         ok = bool(tag & tunnel_file.PROBE) or tunnel_file.checksum(plain) == found
         return D.save({"ok": ok, "shard": shard, "logs": [x.decode("utf-8", "replace") for x in plain]})
 
-    parsed = messages.withColumn("_x", F.from_json(D.vectorised(check)("message"), "ok boolean, shard long, logs array<string>"))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data, start, held = batch.column(batch.schema.get_field_index("message")), 0, 0
+            for end in range(1, len(data) + 1):
+                held += len(data[end - 1].as_buffer())
+                if held >= most or end == len(data):
+                    part = batch.slice(start, end - start)
+                    texts = pa.array([check(x.as_py()) for x in data.slice(start, end - start)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "_text"])
+                    start, held = end, 0
+
+    texts = messages.mapInArrow(run, StructType([*messages.schema.fields, StructField("_text", StringType())]))
+    parsed = texts.withColumn("_x", F.from_json("_text", "ok boolean, shard long, logs array<string>")).drop("_text")
     good = parsed.filter("_x.ok").select(F.col("_x.shard").alias("shard"), F.posexplode("_x.logs").alias("pos", "log"))
     return good, parsed.filter("not _x.ok").drop("_x")
